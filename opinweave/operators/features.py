@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lexicons import ENGLISH_STOPWORDS
 from ..functions.text import space_tokens, word_ngrams
 from ..functions.vectors import l2_normalize
 from .skew import attach, hash_buckets, hash_order
@@ -122,8 +122,8 @@ def stratified_sample(
 
 
 def default_stop_words() -> list[str]:
-    """English stop-words that ship with Spark."""
-    return StopWordsRemover.loadDefaultStopWords("english")
+    """Stop-words left out of TF-IDF terms if no other list is given."""
+    return ENGLISH_STOPWORDS
 
 
 def tfidf_vocabulary(
