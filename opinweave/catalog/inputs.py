@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import labellers as lab
+from ..sources.balance import spread
 
 # Emotion keywords for the test tables, whose texts are invented words: function words of
 # their four languages, so that every emotion occurs.
@@ -28,10 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     """``id, app, content`` from the documents."""
-    docs = table(spark, sf, "documents")
-    return docs.select(
+    docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("app"), F.col("text").alias("content")
     )
+    return spread(docs)
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,12 +73,15 @@ def event_scores(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("event_id", "event_type", "value", (F.col("value") / 20.0).alias("score"))
 
 
-def labelled_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """Reviews with a label ``y``: 0 if toxic, else 2 if of good quality, else 1."""
-    marks = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
+def marks(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, quality, toxic, y``: ``y`` is 0 if toxic, else 2 if of good quality, else 1."""
     y = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
-    # both sides come in id order and the labels are about a third of the reviews
-    return cleaned(spark, sf).join(marks, "id").withColumn("y", y)
+    return table(spark, sf, "labels").withColumnRenamed("doc_id", "id").withColumn("y", y)
+
+
+def labelled_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned reviews that have a label; only those are cleaned."""
+    return lab.with_cleaned(reviews(spark, sf).join(marks(spark, sf), "id"))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +102,7 @@ SCORERS = ["keywords", "length", "words"]
 
 def vocabulary(spark: SparkSession, sf: str, min_docs: int = 2) -> DataFrame:
     """Words that occur in at least ``min_docs`` English documents."""
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = spread(table(spark, sf, "documents").where("lang = 'en'").select("text"))
     words = docs.select(F.explode(F.array_distinct(tx.english_tokens("text"))).alias("word"))
     return words.groupBy("word").count().where(F.col("count") >= min_docs).select("word")
 

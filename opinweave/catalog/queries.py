@@ -608,8 +608,7 @@ def set_union(s, sf):
 
 @query
 def stratified_split(s, sf):
-    rows = x.labelled_reviews(s, sf).select("id", "y")
-    return ft.stratified_split(rows)
+    return ft.stratified_split(x.marks(s, sf).select("id", "y"))
 
 
 @query
@@ -662,7 +661,7 @@ def stratified_sample(s, sf):
 
 @query
 def single_class_guard(s, sf):
-    return ev.single_class_guard(ft.stratified_split(x.labelled_reviews(s, sf).select("id", "y")))
+    return ev.single_class_guard(ft.stratified_split(x.marks(s, sf).select("id", "y")))
 
 
 # ------------------------------------------------------------ training

@@ -100,7 +100,8 @@ def theme_keywords(pair: tuple[str, str]) -> list[tuple[str, int]]:
     return [(k, 2) for k in theme.split()] + [(k, 3) for k in sub.split()] + [(sub, 5)]
 
 
-def _quote(text: str) -> str:
+def sql_text(text: str) -> str:
+    """A text as a SQL literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -109,7 +110,7 @@ def _low(text: str) -> str:
 
 
 def _all_in(where: str, terms: Iterable[str]) -> str:
-    return " AND ".join(f"contains({where}, {_quote(t)})" for t in terms)
+    return " AND ".join(f"contains({where}, {sql_text(t)})" for t in terms)
 
 
 def _theme_points(text: str, pairs: Sequence[tuple[str, str]]) -> list[str]:
@@ -139,7 +140,7 @@ def theme_struct(text: str, pairs: Sequence[tuple[str, str]] = tuple(lex.THEME_P
     n = len(pairs)
     base = n + 1
     packed = [f"{p} * {base} + {n - i}" for i, p in enumerate(_theme_points(text, pairs))]
-    rows = [f"struct({_quote(t)} AS theme, {_quote(s)} AS subtheme)" for t, s in pairs]
+    rows = [f"struct({sql_text(t)} AS theme, {sql_text(s)} AS subtheme)" for t, s in pairs]
     rows.append("CAST(NULL AS STRUCT<theme: STRING, subtheme: STRING>)")
     best = f"greatest({', '.join(packed)}, {base})"
     return F.expr(f"get(array({', '.join(rows)}), {n} - {best} % {base})")
@@ -169,7 +170,7 @@ def lexicon_points(
     every = [*negative, *positive]
 
     def word_array(words_: Iterable[str]) -> str:
-        return f"array({', '.join(map(_quote, words_))})"
+        return f"array({', '.join(map(sql_text, words_))})"
 
     words_found = f"split({low}, '[^{WORD_SQL}]+')"
     found = f"array_intersect({words_found}, {word_array(k for k in every if ' ' not in k)})"

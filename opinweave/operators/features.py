@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
@@ -33,6 +34,27 @@ def _label_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
 
 
+def _split_limits(keyed: DataFrame, group: str, test_share: float) -> dict:
+    """Per label the last ``(md5, id)`` that belongs to the test set."""
+    counts = _label_counts(keyed, group)
+    quota = _largest_remainder(counts, math.ceil(test_share * sum(counts.values())))
+    wanted = {k: q for k, q in quota.items() if q > 0}
+    if not wanted:
+        return {}
+    need = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair))[F.col(group)]
+    cut = hash_buckets(keyed, group).where(
+        (F.col("before") < need) & (F.col("before") + F.col("n") >= need)
+    )
+    # one row per label
+    edge = keyed.withColumn("bucket", F.substring("_order", 1, 4)).join(
+        F.broadcast(cut), [group, "bucket"]
+    )
+    order = Window.partitionBy(group, "bucket").orderBy("_order", "_id")
+    place = F.col("before") + F.row_number().over(order)
+    last = edge.withColumn("_rank", place).where(F.col("_rank") == need)
+    return {r[group]: (r["_order"], r["_id"]) for r in last.select(group, "_order", "_id").collect()}
+
+
 def stratified_split(
     df: DataFrame,
     label: str | None = "y",
@@ -50,24 +72,11 @@ def stratified_split(
     group = label or "_all"
     rows = df if label else df.withColumn("_all", F.lit(0))
     keyed = rows.select(group, F.col(id_col).alias("_id"), hash_order(id_col, seed).alias("_order"))
-    counts = _label_counts(keyed, group)
-    quota = _largest_remainder(counts, math.ceil(test_share * sum(counts.values())))
-    wanted = {k: q for k, q in quota.items() if q > 0}
-    if not wanted:
-        return df.withColumn("split", F.lit("train"))
-
-    need = F.create_map(*(F.lit(x) for k, q in wanted.items() for x in (k, q)))[F.col(group)]
-    cut = hash_buckets(keyed, group).where(
-        (F.col("before") < need) & (F.col("before") + F.col("n") >= need)
-    )
-    edge = keyed.withColumn("bucket", F.substring("_order", 1, 4)).join(
-        F.broadcast(cut), [group, "bucket"]
-    )
-    order = Window.partitionBy(group, "bucket").orderBy("_order", "_id")
-    last = edge.withColumn("_rank", F.col("before") + F.row_number().over(order)).where(
-        F.col("_rank") == need
-    )
-    limits = {r[group]: (r["_order"], r["_id"]) for r in last.select(group, "_order", "_id").collect()}
+    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        limits = _split_limits(keyed, group, test_share)
+    finally:
+        keyed.unpersist()
 
     order_now = hash_order(id_col, seed)
     in_test = F.lit(False)
@@ -136,24 +145,36 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """``term, cf, df, idf`` of the most frequent terms, at most ``max_features``.
 
-    Terms are counted per task before the shuffle; the document frequency comes from each
-    text's distinct terms, so nothing is grouped by (text, term).
+    One pass counts occurrences and texts per term, per task before the shuffle; nothing is
+    grouped by (text, term).
     """
     stop = default_stop_words() if stop is None else stop
-    grams = train.select(word_ngrams(text, stop).alias("grams"))
-    n = train.count()
-    # one row per distinct term and text with its count there
-    counted = grams.select(
-        F.explode("grams").alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")
-    ).unionAll(
-        grams.select(
-            F.explode(F.array_distinct("grams")).alias("term"),
-            F.lit(0).alias("cf"),
-            F.lit(1).alias("df"),
-        )
+    # in a sorted array the first of a run of equal terms stands for the text
+    grams = computed(train.select(text), _grams=F.array_sort(word_ngrams(text, stop)))
+    before = F.concat(
+        F.array(F.lit(None).cast("string")),
+        F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - 1, F.lit(0))),
+    )
+    marked = F.zip_with(
+        "_grams",
+        before,
+        lambda a, b: F.struct(
+            a.alias("term"), F.when(b.isNull() | (a != b), F.lit(1)).otherwise(F.lit(0)).alias("first")
+        ),
+    )
+    # one row without a term per text counts the texts in the same pass
+    text_row = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
+    rows = F.when(F.size("_grams") > 0, F.concat(marked, text_row)).otherwise(text_row)
+    totals = (
+        grams.select(F.inline(rows))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    n = totals.where(F.col("term").isNull()).agg(F.max("df")).first()[0] or 0
+    kept = totals.where(
+        F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))
     )
-    totals = counted.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
-    kept = totals.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
     idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return kept.orderBy(F.desc("cf"), "term").limit(max_features).withColumn("idf", idf)
 

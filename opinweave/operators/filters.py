@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.labels import sql_text
 from ..functions.lexicons import NA_TOKENS
 from .skew import BROADCAST_ROWS, bounded_rows, broadcast_if_small, salted_join
+from .staged import computed
 
 INLINE_WORDS = 20_000
 
@@ -54,19 +56,12 @@ def filter_english(
     known = vocab.select(F.lower("word").alias("word")).distinct()
     rows = bounded_rows(known, inline_words)
     if rows is not None:
-        words = [r["word"] for r in rows]
-        zero = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("n"))
-        # one fold over the tokens, so that a pushed-down filter splits each text once
-        passes = F.aggregate(
-            tx.english_tokens(text),
-            zero,
-            lambda acc, t: F.struct(
-                (acc["hits"] + t.isin(words).cast("int")).alias("hits"), (acc["n"] + 1).alias("n")
-            ),
-            lambda acc: (acc["n"] > 0)
-            & (acc["hits"].cast("double") / acc["n"] >= F.lit(min_share)),
-        )
-        return df.where(F.col(text).isNotNull() & ~tx.has_bengali(text)).where(passes)
+        words = ", ".join(sql_text(r["word"]) for r in rows) or "NULL"
+        tokens = F.when(F.col(text).isNotNull() & ~tx.has_bengali(text), tx.english_tokens(text))
+        staged = computed(df, _tokens=tokens)
+        hits = F.expr(f"size(filter(_tokens, t -> t IN ({words})))")
+        share = F.when(F.size("_tokens") > 0, hits.cast("double") / F.size("_tokens"))
+        return staged.where(share >= F.lit(min_share)).drop("_tokens")
     shares = english_share(df, vocab, id_col, text)
     return df.join(shares.where(F.col("share") >= F.lit(min_share)), id_col, "left_semi")
 

@@ -20,18 +20,31 @@ def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
 
 
 def broadcast_if_small(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The frame with a broadcast hint if it has at most ``limit`` rows, else ``None``."""
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else None
+    """The frame with a broadcast hint if it has at most ``limit`` rows, else ``None``.
 
+    The rows that the check reads are kept, so a derived dimension is not computed twice.
+    """
+    head = dim.limit(limit + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    if head.count() <= limit:
+        return F.broadcast(head)
+    head.unpersist()
+    return None
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 10_000) -> list[int]:
+    """Hashes of the keys that hold more than a thousandth of all rows (so at most 999).
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys that hold more than a thousandth of all rows (so at most 999)."""
+    A key of up to ``min_rows`` rows hurts no task and does not count.
+    """
     hashed = df.select(F.xxhash64(*keys).alias("h"))
     counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    # in small inputs no key can hurt a task
-    floor = max(total // HOT_SHARE, 10_000)
-    return [r["h"] for r in counts.where(F.col("n") > floor).collect()]
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        floor = max(total // HOT_SHARE, min_rows)
+        return [r["h"] for r in counts.where(F.col("n") > floor).collect()]
+    finally:
+        counts.unpersist()
 
 
 def salted_join(

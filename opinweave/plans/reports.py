@@ -101,8 +101,9 @@ def word_cloud_report(labelled: DataFrame, group: str, by: str = "sentiment", k:
 
 def split_rows(df: DataFrame, label: str = "y", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """Training and test rows; stratified if there is more than one class."""
+    df = kept(df)
     classes = df.agg(F.count_distinct(label).alias("n")).first()["n"]
-    marked = kept(stratified_split(df, label if classes > 1 else None, id_col))
+    marked = stratified_split(df, label if classes > 1 else None, id_col)
     return marked.where("split = 'train'"), marked.where("split = 'test'")
 
 
@@ -117,10 +118,9 @@ def train_on_tfidf(
 ) -> DataFrame:
     """One learner on scaled TF-IDF features: ``model, accuracy, precision, recall, f1``."""
     a, b = tfidf_rows(*split_rows(df, label, id_col))
-    spec = LEARNERS[learner]
-    if learner == "Logistic Regression" or spec.scaling == "none":
-        a, b = kept(a), kept(b)
-    scored = fit_and_predict(a, b, spec, label=label, **settings)
+    columns = [label, "features"]
+    a, b = kept(a.select(columns)), kept(b.select(columns))
+    scored = fit_and_predict(a, b, LEARNERS[learner], label=label, **settings)
     keyed = scored.select(F.lit(learner).alias("model"), F.col(label).alias("y"), "yhat")
     return classification_metrics(keyed, ("model",))
 

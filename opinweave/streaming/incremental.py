@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.labellers import with_cleaned, with_lexicon_sentiment, with_theme, with_toxicity
+from ..functions.labels import bin_score, sentiment_from_scores, toxicity_from_scores
+from ..operators.labellers import with_cleaned, with_lexicon_scores, with_theme
 from ..plans.workspace import new_folder
 from ..sources.readers import ingest_landing
 
 
 def score_reviews(df: DataFrame, text: str = "content") -> DataFrame:
     """Cleaned text, theme, sentiment and toxicity of each review; batch or stream."""
-    cleaned = with_cleaned(df, text)
-    return with_toxicity(with_lexicon_sentiment(with_theme(cleaned)))
+    scored = with_lexicon_scores(with_theme(with_cleaned(df, text)))
+    points = ("negative_score", "positive_score")
+    return scored.select(
+        *(c for c in scored.columns if c not in points),
+        sentiment_from_scores(*points).alias("sentiment"),
+        toxicity_from_scores(*points).alias("toxicity_score"),
+    ).withColumn("toxicity_category", bin_score("toxicity_score"))
 
 
 def landing_stream(spark: SparkSession, path: str, fmt: str, schema: str, pattern: str | None = None) -> DataFrame:
