@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -30,6 +31,7 @@ from .evaluation import classification_metrics
 from .features import minmax_scaler, standard_scaler
 
 log = logging.getLogger(__name__)
+ROWS_PER_TASK = 20_000
 
 # ------------------------------------------------------------ embeddings
 
@@ -83,15 +85,31 @@ class Fitted:
         return scored.select(*df.columns, code.alias(out))
 
 
+def _training_rows(rows: DataFrame) -> DataFrame:
+    """Rows kept for the passes of an iterative fit, in tasks of a useful size.
+
+    A learner runs one or more jobs per iteration, so a small training set is put in few
+    partitions; a large one keeps all of its own.
+    """
+    n = rows.count()
+    few = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
+    return few.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _fit_estimator(train: DataFrame, estimator, features: str, label: str) -> Fitted:
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     codes = F.array_position(F.lit([int(c) for c in classes]), F.col(label).cast("int")) - 1
-    rows = train.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
-        codes.cast("double").alias("_y"),
+    rows = _training_rows(
+        train.select(
+            array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
+            codes.cast("double").alias("_y"),
+        )
     )
-    make = estimator(len(classes), rows) if callable(estimator) else estimator
-    model = make.fit(rows)
+    try:
+        make = estimator(len(classes)) if callable(estimator) else estimator
+        model = make.fit(rows)
+    finally:
+        rows.unpersist()
     return Fitted(model.transform, classes, features)
 
 
@@ -110,12 +128,14 @@ def train_decision_tree(train, features="features", label="y", depth=20, seed=42
     return _fit_estimator(train, tree, features, label)
 
 
-def train_logistic(train, features="features", label="y", c=1.0, max_iter=1000) -> Fitted:
+def train_logistic(
+    train, features="features", label="y", c=1.0, max_iter=1000, tol=1e-4
+) -> Fitted:
     """Multinomial regression with an L2 penalty of ``1 / (c n)``."""
     n = max(train.count(), 1)
     regression = LogisticRegression(
         maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        family="multinomial", **_COLUMNS,
+        family="multinomial", tol=tol, **_COLUMNS,
     )
     return _fit_estimator(train, regression, features, label)
 
@@ -147,7 +167,7 @@ def train_gradient_boosting(
     )
     ensure_checkpoint_dir(train.sparkSession)
 
-    def estimator(k: int, _rows: DataFrame):
+    def estimator(k: int):
         return trees if k == 2 else OneVsRest(classifier=trees, **_COLUMNS)
 
     return _fit_estimator(train, estimator, features, label)
@@ -200,12 +220,13 @@ def train_adaboost(
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     k = len(classes)
     codes = F.array_position(F.lit([int(c) for c in classes]), F.col(label).cast("int")) - 1
-    rows = train.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
-        codes.cast("double").alias("_y"),
-        F.lit(1.0).alias("_w"),
-    ).persist()
-    kept = [rows]
+    first = rows = _training_rows(
+        train.select(
+            array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
+            codes.cast("double").alias("_y"),
+            F.lit(1.0).alias("_w"),
+        )
+    )
     stump = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=seed, **_COLUMNS)
     votes: list[tuple[object, float]] = []
     for i in range(rounds):
@@ -230,8 +251,7 @@ def train_adaboost(
         rows = scored.select("_x", "_y", (grown * F.lit(scale)).alias("_w"))
         if (i + 1) % checkpoint_every == 0:
             rows = rows.checkpoint(eager=True)
-    for frame in kept:
-        frame.unpersist()
+    first.unpersist()
 
     def transform(data: DataFrame) -> DataFrame:
         totals = [F.lit(0.0)] * k
@@ -259,7 +279,7 @@ def train_perceptron(train, features="features", label="y", hidden=(64,), max_it
     """Small neural network."""
     width = len(train.select(features).first()[0])
 
-    def estimator(k: int, _rows: DataFrame):
+    def estimator(k: int):
         return MultilayerPerceptronClassifier(
             layers=[width, *hidden, max(k, 2)], maxIter=max_iter, seed=seed, **_COLUMNS
         )
