@@ -17,9 +17,11 @@ from ..operators import (
     learners as ln,
     pseudo_labels as ps,
 )
+from ..operators.skew import exact_percentiles
 from ..plans import reports
 from ..plans.workspace import new_folder
 from ..sources import readers as rd, writers as wr
+from ..sources.balance import wanted_partitions
 from ..streaming import incremental as st
 from . import inputs as x
 
@@ -61,9 +63,7 @@ def scan_reviews(s, sf):
     docs = x.table(s, sf, "documents").withColumn("app", F.col("source"))
     tables = {"documents": docs, "nation": x.table(s, sf, "nation")}
     tables |= {n: x.table(s, sf, n) for n in ("conversations", "benchmark")}
-    return rd.scan_review_tables(
-        {n: t for n, t in tables.items()}
-    ).select("app", "content", "doc_id", "conv_id", "turn", "item_id")
+    return rd.scan_review_tables(tables).select("app", "content", "doc_id", "conv_id", "turn", "item_id")
 
 
 @query
@@ -537,8 +537,6 @@ def vector_mean(s, sf):
 
 @query
 def percentile_thresholds(s, sf):
-    from ..operators.skew import exact_percentiles
-
     values = x.table(s, sf, "lineitem").groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n_rows")
     )
@@ -781,7 +779,8 @@ def metric_long_form(s, sf):
 def incremental_scoring(s, sf):
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
     stream = st.landing_stream(s, sf, "parquet", schema, "documents.parquet")
-    scored = st.incremental_scoring(stream, "text")
+    partitions = wanted_partitions(x.table(s, sf, "documents"))
+    scored = st.incremental_scoring(stream, "text", partitions=partitions)
     return _r(
         scored.select(F.col("doc_id").alias("id"), "theme", "subtheme", "sentiment", "toxicity_score"),
         "toxicity_score",

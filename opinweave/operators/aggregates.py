@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import bin_score, label_decode
@@ -129,7 +130,7 @@ def histogram_by_label(df: DataFrame, label: str, value: str, bins: int = 20) ->
         label,
         F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_lo"),
         F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_hi"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # one row per label, read twice below
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     slot = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     counts = (

@@ -171,12 +171,17 @@ def tfidf_vocabulary(
         .agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    n = totals.where(F.col("term").isNull()).agg(F.max("df")).first()[0] or 0
-    kept = totals.where(
-        F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))
-    )
-    idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return kept.orderBy(F.desc("cf"), "term").limit(max_features).withColumn("idf", idf)
+    try:
+        n = totals.where(F.col("term").isNull()).agg(F.max("df")).first()[0] or 0
+        kept = totals.where(
+            F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))
+        )
+        idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+        top = kept.orderBy(F.desc("cf"), "term").limit(max_features).withColumn("idf", idf)
+        # at most `max_features` rows
+        return train.sparkSession.createDataFrame(top.collect(), top.schema)
+    finally:
+        totals.unpersist()
 
 
 def tfidf_model(vocabulary: DataFrame) -> list[tuple[str, float]]:

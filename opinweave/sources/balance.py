@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def wanted_partitions(df: DataFrame) -> int | None:
+    """The number of cores if the scan has fewer partitions, else ``None``."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return cores if parts < cores else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The frame over at least as many partitions as there are cores.
 
@@ -12,6 +19,5 @@ def spread(df: DataFrame) -> DataFrame:
     worth one shuffle. A scan that already has a partition per core stays as it is, which is
     always so for large tables.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    wanted = wanted_partitions(df)
+    return df.repartition(wanted) if wanted else df

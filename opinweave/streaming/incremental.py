@@ -45,9 +45,16 @@ def ingest_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "csv
     return append_to(ingest_landing(stream), path, checkpoint, fmt)
 
 
-def incremental_scoring(stream: DataFrame, text: str = "content", path: str | None = None) -> DataFrame:
-    """Score everything a file stream holds now and return the table that was written."""
+def incremental_scoring(
+    stream: DataFrame, text: str = "content", path: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Score everything a file stream holds now and return the table that was written.
+
+    ``partitions`` spreads each batch where the files have fewer row groups than cores.
+    """
     spark = stream.sparkSession
+    if partitions is not None:
+        stream = stream.repartition(partitions)
     target = path or new_folder(spark, "scored")
     append_to(score_reviews(stream, text), target, new_folder(spark, "stream")).awaitTermination()
     return spark.read.parquet(target)
