@@ -104,23 +104,60 @@ def english_tokens(raw: Column | str) -> Column:
     return F.filter(F.split(t, " "), lambda w: w.rlike(r"^\p{L}+$"))
 
 
-def word_ngrams(text: Column | str, stop: Iterable[str] = ()) -> Column:
-    """Single words and pairs of neighbours, after stop-words are taken out.
-
-    A word is a run of two or more word characters.
-    """
+def term_words(text: Column | str, stop: Iterable[str] = ()) -> Column:
+    """Lower-case runs of two or more word characters that are no stop-words."""
     stop = sorted(stop)
-    single = F.filter(words(F.coalesce(_col(text), F.lit(""))), lambda t: F.length(t) >= 2)
-    if stop:
-        single = F.filter(single, lambda t: ~t.isin(stop))
+    every = words(F.coalesce(_col(text), F.lit("")))
+    if not stop:
+        return F.filter(every, lambda t: F.length(t) >= 2)
+    return F.filter(every, lambda t: (F.length(t) >= 2) & ~t.isin(stop))
 
-    def with_pairs(w: Column) -> Column:
-        after = F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))
-        pairs = F.zip_with(w, after, lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
+def _neighbours(w: Column, pair) -> Column:
+    """``pair(a, b)`` of every two neighbours where it is not NULL."""
+    after = F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))
+    # the shorter array is filled up with NULL, which a pair with NULL is, too
+    return F.filter(F.zip_with(w, after, pair), lambda p: p.isNotNull())
+
+
+def word_ngrams(text: Column | str, stop: Iterable[str] = ()) -> Column:
+    """Single words and pairs of neighbours, after stop-words are taken out."""
+    blank = F.lit(" ")
     # the words are split once and named inside the function
-    return F.get(F.transform(F.array(single), with_pairs), F.lit(0))
+    return F.get(
+        F.transform(
+            F.array(term_words(text, stop)),
+            lambda w: F.concat(w, _neighbours(w, lambda a, b: F.concat(a, blank, b))),
+        ),
+        F.lit(0),
+    )
+
+
+def known_ngrams(text: Column | str, terms: Iterable[str], stop: Iterable[str] = ()) -> Column:
+    """Those of :func:`word_ngrams` that are among the terms.
+
+    A pair is only built where its words begin and end a term.
+    """
+    terms = sorted(terms)
+    single = [t for t in terms if " " not in t]
+    pairs = [t for t in terms if " " in t]
+    firsts, seconds = ({t.split(" ")[i] for t in pairs} for i in (0, 1))
+
+    def known(w: Column) -> Column:
+        found = []
+        if single:
+            found.append(F.filter(w, lambda t: t.isin(single)))
+        if pairs:
+            both = _neighbours(
+                w,
+                lambda a, b: F.when(
+                    a.isin(sorted(firsts)) & b.isin(sorted(seconds)), F.concat(a, F.lit(" "), b)
+                ),
+            )
+            found.append(F.filter(both, lambda p: p.isin(pairs)))
+        return F.concat(*found)
+
+    return F.get(F.transform(F.array(term_words(text, stop)), known), F.lit(0))
 
 
 def safe_name(name: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lexicons import ENGLISH_STOPWORDS
-from ..functions.text import space_tokens, word_ngrams
+from ..functions.text import known_ngrams, space_tokens, word_ngrams
 from ..functions.vectors import l2_normalize
 from .skew import attach, hash_buckets, hash_order
 from .staged import computed
@@ -202,7 +202,7 @@ def with_tfidf(
     if not terms:
         raise ValueError("the TF-IDF vocabulary is empty")
     idf = F.lit([float(w) for _, w in model])
-    kept = computed(df, _kept=F.filter(word_ngrams(text, stop), lambda g: g.isin(terms)))
+    kept = computed(df, _kept=known_ngrams(text, terms, stop))
     counts = F.transform(F.lit(terms), lambda t: F.size(F.filter("_kept", lambda g: g == t)))
     weighted = computed(kept, _weights=F.zip_with(counts, idf, lambda c, w: c * w))
     unit = l2_normalize("_weights")

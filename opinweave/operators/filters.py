@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
@@ -23,14 +24,14 @@ def drop_missing_text(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 def english_share(df: DataFrame, vocab: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, share)``: share of letter-only tokens that are in the vocabulary.
+    """``(id, share)``: share of letter-only tokens that are in the distinct ``vocab``.
 
     The exploded tokens carry only the id and fold to one row per id before the shuffle.
     """
     tokens = df.where(~tx.has_bengali(text)).select(
         id_col, F.explode(tx.english_tokens(text)).alias("word")
     )
-    known = vocab.select(F.lower("word").alias("word")).distinct().withColumn("_hit", F.lit(1))
+    known = vocab.withColumn("_hit", F.lit(1))
     small = broadcast_if_small(known, 10 * BROADCAST_ROWS)
     if small is not None:
         joined = tokens.join(small, "word", "left")
@@ -54,15 +55,17 @@ def filter_english(
     pass are joined back.
     """
     known = vocab.select(F.lower("word").alias("word")).distinct()
+    known = known.persist(StorageLevel.MEMORY_AND_DISK)
     rows = bounded_rows(known, inline_words)
     if rows is not None:
+        known.unpersist()
         words = ", ".join(sql_text(r["word"]) for r in rows) or "NULL"
         tokens = F.when(F.col(text).isNotNull() & ~tx.has_bengali(text), tx.english_tokens(text))
         staged = computed(df, _tokens=tokens)
         hits = F.expr(f"size(filter(_tokens, t -> t IN ({words})))")
         share = F.when(F.size("_tokens") > 0, hits.cast("double") / F.size("_tokens"))
         return staged.where(share >= F.lit(min_share)).drop("_tokens")
-    shares = english_share(df, vocab, id_col, text)
+    shares = english_share(df, known, id_col, text)
     return df.join(shares.where(F.col("share") >= F.lit(min_share)), id_col, "left_semi")
 
 
