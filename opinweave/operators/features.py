@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.lexicons import ENGLISH_STOPWORDS
 from ..functions.text import known_ngrams, space_tokens, word_ngrams
 from ..functions.vectors import l2_normalize
-from .skew import attach, hash_buckets, hash_order
+from .skew import BROADCAST_ROWS, attach, hash_buckets, hash_order
 from .staged import computed
 
 # ------------------------------------------------------------ split and sample
@@ -98,12 +98,15 @@ def stratified_sample(
     keyed = df.withColumn("_order", hash_order(id_col, seed))
     counts = _label_counts(keyed, label)
     quota = _largest_remainder(counts, min(size, sum(counts.values())))
-    draws = [
-        (key, j, (j * 2654435761 + seed) % counts[key]) for key, q in quota.items() for j in range(q)
-    ]
-    spark = df.sparkSession
     label_type = df.schema[label].dataType.simpleString()
-    drawn = spark.createDataFrame(draws, f"`{label}` {label_type}, draw INT, place BIGINT")
+    quotas = df.sparkSession.createDataFrame(
+        [(key, q, counts[key]) for key, q in quota.items() if q > 0],
+        f"`{label}` {label_type}, quota INT, n BIGINT",
+    )
+    draw = F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("draw")
+    drawn = quotas.select(label, "n", draw).select(
+        label, "draw", ((F.col("draw") * F.lit(2654435761) + F.lit(seed)) % F.col("n")).alias("place")
+    )
 
     # place -> md5 prefix: the last prefix that starts at or before the place
     starts = hash_buckets(keyed, label).select(
@@ -117,14 +120,15 @@ def stratified_sample(
         .where(F.col("draw").isNotNull())
         .select(label, "draw", "bucket", (F.col("place") - F.col("before")).alias("_rank"))
     )
-    # both sides of these joins have at most `size` rows
+    # both have at most `size` rows
+    small = F.broadcast if size <= BROADCAST_ROWS else lambda d: d
     used = placed.select(label, "bucket").distinct()
     rows = keyed.withColumn("bucket", F.substring("_order", 1, 4)).join(
-        F.broadcast(used), [label, "bucket"], "left_semi"
+        small(used), [label, "bucket"], "left_semi"
     )
     order = Window.partitionBy(label, "bucket").orderBy("_order", id_col)
     ranked = rows.withColumn("_rank", (F.row_number().over(order) - 1).cast("bigint"))
-    return ranked.join(F.broadcast(placed), [label, "bucket", "_rank"]).select(*df.columns, "draw")
+    return ranked.join(small(placed), [label, "bucket", "_rank"]).select(*df.columns, "draw")
 
 
 # ------------------------------------------------------------ TF-IDF
