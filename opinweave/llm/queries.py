@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, sharding
+from . import chat, langid, mixing, quality, sharding
 from .common import table
 
 N_SHARDS = 40
@@ -12,6 +12,14 @@ N_SHARDS = 40
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op7_mix_sources": op7_mix_sources,
     "op9_format_chats": op9_format_chats,
     "op10_shard": op10_shard,
