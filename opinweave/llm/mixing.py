@@ -193,7 +193,4 @@ def mix_report(docs: DataFrame, **settings) -> DataFrame:
     light = docs.select("doc_id", "source", "text")
     mixed = mix(light, **settings)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    shards = F.transform("draws", lambda d: d["shard"])
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards")
-    )
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

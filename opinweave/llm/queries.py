@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, quality, sharding
+from . import chat, decontam, html_extract, langid, mixing, quality, sharding
 from .common import table
+from .sql import ORACLE
 
 N_SHARDS = 40
 #: A conversation whose texts hold the control strings of the template.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination_report(docs, items)
+
+
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,10 +49,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op4_extract_html": op4_extract_html,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_mix_sources": op7_mix_sources,
     "op9_format_chats": op9_format_chats,
     "op10_shard": op10_shard,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
