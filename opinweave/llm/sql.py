@@ -38,6 +38,35 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words,
 FROM documents d LEFT JOIN doc_words USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP2 = rf"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
+                                 lambda i: array_to_string(w[i:i + 2], ' '))) AS shingle
+  FROM doc_words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), linked AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b
+), roots AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
+"""
+
 # The weights 3, 1, 2 repeat over the sources by code point, null last. Each step of `fill` fixes
 # the sources whose target would be above twice their size and shares what is left by weight.
 OP7 = r"""
@@ -78,5 +107,6 @@ FROM ordered
 
 ORACLE = {
     "op1_decontaminate": OP1,
+    "op2_near_duplicates": OP2,
     "op7_mix_sources": OP7,
 }
