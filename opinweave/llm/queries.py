@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_extract, langid, mixing, neardup, quality, sharding
+from . import chat, decontam, html_extract, langid, mixing, neardup, quality, repeats, sharding
 from .common import table
 from .sql import ORACLE
 
@@ -22,6 +22,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_report(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract_pages(pages)
@@ -55,6 +59,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_extract_html": op4_extract_html,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
