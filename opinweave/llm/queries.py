@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_extract, langid, mixing, neardup, quality, repeats, sharding
+from . import chat, decontam, html_extract, langid, linedup, mixing, neardup, quality, repeats, sharding
 from .common import table
 from .sql import ORACLE
 
@@ -43,6 +43,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_mix_sources": op7_mix_sources,
+    "op8_repeated_lines": op8_repeated_lines,
     "op9_format_chats": op9_format_chats,
     "op10_shard": op10_shard,
 }

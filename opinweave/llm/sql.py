@@ -105,8 +105,44 @@ SELECT doc_id, size, source_size, target,
 FROM ordered
 """
 
+# A pair of similar sets shares one of the rarest words of each; the rarest here are by exact counts.
+OP8 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS said
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(said, '[^\x20\x09-\x0D]+'))) AS w FROM lines
+), classes AS (
+  SELECT w, len(w) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c FROM sets WHERE len(w) > 0 GROUP BY w
+), words AS (
+  SELECT c, n, unnest(w) AS word FROM classes
+), counts AS (
+  SELECT word, count(*) AS f FROM words GROUP BY word
+), prefix AS (
+  SELECT c, n, word FROM (
+    SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY f, word) AS r FROM words JOIN counts USING (word)
+  ) WHERE r <= n - ceil(n * 80 / 100.0) + 1
+), pairs AS (
+  SELECT DISTINCT x.c AS a, y.c AS b FROM prefix x JOIN prefix y USING (word)
+  WHERE x.c < y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+), alike AS (
+  SELECT CASE WHEN x.first < y.first THEN b ELSE a END AS c
+  FROM pairs JOIN classes x ON x.c = a JOIN classes y ON y.c = b
+  WHERE 100 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n - len(list_intersect(x.w, y.w)))
+), stay AS (
+  SELECT first[1] AS doc_id, count(*) AS n, string_agg(CAST(first[2] AS VARCHAR), ',' ORDER BY first[2]) AS kept
+  FROM classes WHERE c NOT IN (SELECT c FROM alike) GROUP BY 1
+), totals AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE len(w) > 0) AS n_said FROM sets GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(n_said, 0) - coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(kept, '') AS kept_lines
+FROM documents LEFT JOIN totals USING (doc_id) LEFT JOIN stay USING (doc_id)
+"""
+
 ORACLE = {
     "op1_decontaminate": OP1,
     "op2_near_duplicates": OP2,
     "op7_mix_sources": OP7,
+    "op8_repeated_lines": OP8,
 }
