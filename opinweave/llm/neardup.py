@@ -92,7 +92,7 @@ def _tree_rows(classes: DataFrame) -> DataFrame:
             if not n:
                 continue
             raw = b"".join(batch.column(1).to_pylist())
-            values = np.frombuffer(raw, np.uint32).reshape(n, TREES, DEEPEST).astype(np.uint64)
+            values = np.frombuffer(raw, np.uint16).reshape(n, TREES, DEEPEST).astype(np.uint64)
             h = np.broadcast_to(mix64(np.arange(1, TREES + 1, dtype=np.uint64)), (n, TREES))
             columns = [np.repeat(batch.column(0).to_numpy(), TREES)]
             for d in range(DEEPEST):
@@ -139,11 +139,11 @@ def _candidates(regions: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        signed = np.zeros((0, WIDTH), np.uint32)
+        signed = np.zeros((0, WIDTH), np.uint16)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, WIDTH)
+            new = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, WIDTH)
             region = np.concatenate([region, batch.column(0).to_numpy()])
             node = np.concatenate([node, batch.column(1).to_numpy()])
             signed = np.concatenate([signed, new])
@@ -233,15 +233,14 @@ def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _family_links(regions: DataFrame, sets_of, percent: int) -> DataFrame:
+def _family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the classes of large regions, block against block."""
-    large = regions.where(F.col("n") > REGION).select("region", "node")
     hubs = large.groupBy("region").agg(F.min("node").alias("hub"))
     edges = large.join(hubs, "region").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = components(edges)
     sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = families.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(sets_of(families.select("node")), "node")
+    members = members.join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = members.select("root", "node", "words", "block", other)
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -273,13 +272,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     regions = _regions(classes)
     pairs = cut(_candidates(regions, classes, percent))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return _sets(docs, classes.select("node", "doc").join(nodes, "node", "left_semi"), k)
-
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    links = _confirmed(pairs, cut(sets_of(ends)), percent)
-    if not regions.where(F.col("n") > REGION).isEmpty():
-        links = links.union(_family_links(regions, sets_of, percent))
+    large = regions.where(F.col("n") > REGION).select("region", "node")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    sets = cut(_sets(docs, classes.select("node", "doc").join(ends, "node"), k))
+    links = _confirmed(pairs, sets, percent)
+    if not large.isEmpty():
+        links = links.union(_family_links(large, sets, percent))
     roots = components(cut(links))
     named = roots.join(classes.select("node", "doc"), "node")
     first = named.groupBy("root").agg(F.min("doc").alias("first"))

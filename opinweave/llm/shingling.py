@@ -76,13 +76,13 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]
 
 
 def minhash(sets: list[np.ndarray], multipliers: np.ndarray, most: int = 2048) -> np.ndarray:
-    """The signatures of non-empty sets: per multiplier the least 32-bit product of a set."""
-    out = np.empty((len(sets), len(multipliers)), np.uint32)
+    """The signatures of non-empty sets: of the least 32-bit product per multiplier the low half."""
+    out = np.empty((len(sets), len(multipliers)), np.uint16)
     for i, h in enumerate(sets):
         low = (h >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(multipliers), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(low), most):
             product = multipliers[:, None] * low[None, at : at + most]
             np.minimum(least, product.min(axis=1), out=least)
-        out[i] = least
+        out[i] = least.astype(np.uint16)
     return out
