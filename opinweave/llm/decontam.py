@@ -61,13 +61,13 @@ def _attached(left: DataFrame, right: DataFrame, on: str, how: str = "inner") ->
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, text_key, start, n, text``: every occurrence of a window in a document."""
+    """``text, doc_id, text_key, start, n, item``: every occurrence of a window in a document."""
     item_windows = cut(_windows(items, window))
     texts = item_windows.select("text", "n").distinct()
     k_of = F.least(F.col("n"), F.lit(shingle))
     rows = texts.select("text", "n", F.split("text", " ").alias("w"), k_of.alias("k"))
     lengths = sorted(r[0] for r in rows.select("k").distinct().collect())  # at most `shingle`
-    empty = "doc_id BIGINT, text_key BIGINT, start INT, n INT, text STRING"
+    empty = "text STRING, doc_id BIGINT, text_key BIGINT, start INT, n INT, item STRING"
     if not lengths:
         return docs.sparkSession.createDataFrame([], empty)
     pieces = [
