@@ -43,6 +43,8 @@ _SUFFIXES = (
 
 
 def _by_bucket(buckets: np.ndarray, columns: dict[str, np.ndarray]) -> dict[int, dict[str, bytes]]:
+    if not len(buckets):
+        return {}
     order = np.argsort(buckets, kind="stable")
     ordered = {k: v[order] for k, v in columns.items()}
     held, starts = np.unique(buckets[order], return_index=True)
@@ -87,7 +89,7 @@ def _samples(keyed: DataFrame, n_buckets: int, span: int, gram: int) -> DataFram
                 rows.setdefault(b, {}).update(more)
             yield _batch(rows, _SAMPLES)
 
-    return keyed.select("text_key", "text").mapInArrow(run, _SAMPLES)
+    return keyed.mapInArrow(run, _SAMPLES)
 
 
 def _joined(parts: pd.Series, kind: type = np.int64) -> np.ndarray:
@@ -108,7 +110,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     twice[:-1] |= twice[1:]
     return pd.DataFrame(
         {
-            "text_key": np.concatenate([k[twice], _joined(group["known_keys"])]),
+            "_key": np.concatenate([k[twice], _joined(group["known_keys"])]),
             "place": np.concatenate([p[twice], _joined(group["known_places"])]),
         }
     )
@@ -162,7 +164,7 @@ def _suffixes(texts: DataFrame, n_buckets: int, span: int, gram: int) -> DataFra
                     rows.setdefault(b, {}).update(more)
             yield _batch(rows, _SUFFIXES)
 
-    return texts.select("doc", "text_key", "text", "places").mapInArrow(run, _SUFFIXES)
+    return texts.mapInArrow(run, _SUFFIXES)
 
 
 def _resolved(span: int, gram: int):
@@ -181,7 +183,7 @@ def _resolved(span: int, gram: int):
         gone = lo <= hi
         return pd.DataFrame(
             {
-                "text_key": np.concatenate([key[gone], _joined(group["done_keys"])]),
+                "_key": np.concatenate([key[gone], _joined(group["done_keys"])]),
                 "start": np.concatenate([(place + lo)[gone], _joined(group["done_starts"])]),
                 "end": np.concatenate([(place + hi)[gone] + span, _joined(group["done_ends"])]),
             }
@@ -194,37 +196,32 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     """All columns of ``docs`` with ``kept`` (the bytes left), ``n_bytes``, ``n_removed``, ``n_spans``."""
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"), F.xxhash64(text).alias("text_key"),
-        text.alias("text"),
-    )
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
+    # both joins below read the same exchange of the texts
+    keyed = docs.withColumn("_key", F.xxhash64(text))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = 16
     while n_buckets * BUCKET_BYTES < total:
         n_buckets *= 2
-    long_enough = F.octet_length("text") >= span
-    samples = _samples(keyed.where(long_enough), n_buckets, span, gram)
-    places = samples.groupBy("bucket").applyInPandas(_shared, "text_key BIGINT, place BIGINT")
-    places = places.groupBy("text_key").agg(F.collect_list("place").alias("places"))
-    firsts = cut(keyed.groupBy("text_key").agg(F.min("doc").alias("doc")))
-    texts = keyed.where(long_enough).join(places.join(firsts, "text_key"), ["text_key", "doc"])
-    suffixes = _suffixes(texts, n_buckets, span, gram)
-    spans = suffixes.groupBy("bucket").applyInPandas(
-        _resolved(span, gram), "text_key BIGINT, start BIGINT, end BIGINT"
-    )
-    spans = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    verdict = firsts.select("text_key", F.col("doc").alias("_first")).join(spans, "text_key", "left")
-    rows = docs.withColumn("_key", F.xxhash64(text)).join(
-        verdict.withColumnRenamed("text_key", "_key"), "_key", "left"
-    )
-    is_first = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)) == F.col("_first")
+    long_enough = keyed.where(F.octet_length("text") >= span)
+    samples = _samples(long_enough.select("_key", "text"), n_buckets, span, gram)
+    places = samples.groupBy("bucket").applyInPandas(_shared, "_key BIGINT, place BIGINT")
+    places = places.groupBy("_key").agg(F.collect_list("place").alias("_places"))
+    firsts = cut(keyed.groupBy("_key").agg(F.min(doc).alias("_first")))
+    # not an equality, which would become a join key and part the exchanges
+    is_first = (doc <= F.col("_first")) & (doc >= F.col("_first"))
+    texts = keyed.join(places.join(firsts, "_key"), "_key").where(is_first)
+    suffixes = _suffixes(texts.select("_first", "_key", "text", "_places"), n_buckets, span, gram)
+    spans = suffixes.groupBy("bucket").applyInPandas(_resolved(span, gram), "_key BIGINT, start BIGINT, end BIGINT")
+    spans = spans.groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    rows = keyed.join(firsts.join(spans, "_key", "left"), "_key", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     gone = F.when(is_first, F.coalesce("_spans", none)).otherwise(
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("end")))
     )
     gone = F.when(F.octet_length(text) < span, none).otherwise(gone)
-    rows = rows.select(*docs.columns, text.alias("_text"), gone.alias("_gone"))
     n = len(docs.columns)
+    rows = rows.select(*docs.columns, text.alias("_text"), gone.alias("_gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text"):
