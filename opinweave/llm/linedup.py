@@ -10,7 +10,7 @@ Words are ordered by rarity: a sketch counts them in a fixed number of hash buck
 is by count, then hash. Two sets that are similar enough share one of their first words in that
 order, of which there are ``n - ceil(t * n) + 1`` (prefix filter). Classes are joined on these
 words; their sizes (length filter) and the places of the shared word (positional filter) must
-leave room for enough common words. The words themselves then decide. All of it is DataFrame
+leave room for enough common words, and so must a bitmap of each set. The words themselves then decide. All of it is DataFrame
 functions; hashes only find candidates and classes.
 
 Cases: a null text has no lines; a line without words is always kept; rows with a null id come
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.skew import attach
 from ..operators.staged import computed
 from .common import SPACE, cut
 
@@ -29,6 +30,8 @@ PERCENT = 80
 #: Hash buckets of the word counts: a table of 4 MB whatever the corpus.
 BUCKETS = 1 << 20
 FIRST_ID = -(1 << 63)
+#: Documents with candidate lines, some dozen bytes each, that may be broadcast.
+BROADCAST_ROWS = 250_000
 
 
 def _words(line: str | Column) -> Column:
@@ -41,64 +44,66 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64("text").alias("key"), "text")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def rarity(texts: DataFrame) -> bytearray:
-    """For every bucket how often its words occur, as quarters of a power of two, a byte each."""
+def rarity(texts: DataFrame) -> Column:
+    """A fixed array: for every bucket how often its words occur, in quarters of a power of two."""
     words = texts.select(F.explode(_words("text")).alias("word"))
-    counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1) * 4)).cast("int")
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.floor(F.log2(F.col("n") + 1) * 4).cast("int")
     found = counts.select("bucket", level.alias("level")).toArrow()  # at most BUCKETS rows
-    out = bytearray(BUCKETS)
+    levels = ["0"] * BUCKETS
     for bucket, at in zip(found["bucket"].to_pylist(), found["level"].to_pylist(), strict=True):
-        out[bucket] = at
-    return out
-
-
-def _lines(keyed: DataFrame) -> DataFrame:
-    """``doc, key, line, said``, the lines that have words."""
-    rows = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    return rows.where(F.col("said").rlike(f"[^{SPACE}]"))
+        levels[bucket] = str(at)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")  # folded to a constant
 
 
 def _classes(keyed: DataFrame, percent: int) -> DataFrame:
-    """``class, n, first, prefix``: the distinct word sets, their sizes, places and rarest words."""
-    levels = F.lit(rarity(keyed))
-    hashed = F.transform(_words("said"), lambda w: F.xxhash64(w))
-    rows = computed(_lines(keyed), hashed=hashed).select("doc", "key", "line", "hashed")
-    low = (1 << 50) - 1
+    """``class, n, bits, first, prefix``: the distinct word sets, where they are first, rarest words.
+
+    ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
+    """
+    levels = rarity(keyed)
+    lines = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    rows = computed(lines, hashed=F.array_distinct(F.transform(_words("said"), lambda w: F.xxhash64(w))))
+    rows = rows.where(F.size("hashed") > 0).select("doc", "key", "line", "hashed")
     order = F.transform(
-        F.array_distinct("hashed"),
-        lambda h: F.shiftleft(
-            F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string")).cast("long"), 50
-        )
-        + F.shiftright(h, 14).bitwiseAND(low),
+        "hashed", lambda h: F.shiftleft(F.get(levels, _bucket(h)), 50) + F.shiftrightunsigned(h, 14)
     )
     rows = computed(rows, tokens=F.sort_array(order)).select("doc", "key", "line", "tokens")
     n = F.size("tokens")
     needed = F.floor((n * percent + 99) / 100).cast("int")
     prefix = F.transform(F.slice("tokens", 1, n - needed + 1), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = rows.select(
-        F.xxhash64("tokens").alias("class"), F.struct("doc", "key", "line").alias("at"), n.alias("n"), prefix.alias("prefix")
+    one = F.lit(1).cast("long")
+    bits = F.aggregate(
+        "tokens",
+        F.lit(0).cast("long"),
+        lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))),
     )
+    rows = rows.select(
+        F.xxhash64("tokens").alias("class"), F.struct("doc", "key", "line").alias("at"), n.alias("n"),
+        bits.alias("bits"), prefix.alias("prefix"),
+    )
     return rows.groupBy("class").agg(
-        F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("at").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """``a, b``: classes that share a rare word and may be similar enough."""
-    rows = classes.select("class", "n", F.posexplode("prefix").alias("place", "word"))
+    rows = classes.select("class", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     left, right = rows.alias("l"), rows.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     rest = F.least(n - F.col("l.place"), m - F.col("r.place"))  # the shared word and those after it
+    apart = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))  # words of one set only, at least
     fits = (
         (F.col("l.word") == F.col("r.word"))
         & ((n < m) | ((n == m) & (F.col("l.class") < F.col("r.class"))))
         & (100 * n >= percent * m)
         & ((100 + percent) * rest >= percent * (n + m))
+        & ((100 + percent) * apart <= (100 - percent) * (n + m))
     )
     pairs = left.join(right, fits).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
     return pairs.distinct()
@@ -111,7 +116,7 @@ def _similar(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     by_doc = places.groupBy(F.col("first.doc").alias("doc"), F.col("first.key").alias("key")).agg(
         F.collect_list(F.struct(F.col("first.line").alias("line"), "class")).alias("wanted")
     )
-    texts = computed(keyed.join(by_doc, ["doc", "key"]), lines=F.split("text", "\n"))
+    texts = computed(attach(keyed, by_doc, ["doc", "key"], "inner", BROADCAST_ROWS), lines=F.split("text", "\n"))
     found = texts.select("doc", "key", "lines", F.explode("wanted").alias("w"))
     words = F.array_distinct(_words(F.get(F.col("lines"), F.col("w.line"))))
     sets = found.select(F.col("w.class").alias("class"), F.struct("doc", "key", "w.line").alias("at"), words.alias("words"))
@@ -135,12 +140,15 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return stay.select("first.doc", "first.key", "first.line")
 
 
-def _with_kept(docs: DataFrame, percent: int) -> DataFrame:
+def _stay(docs: DataFrame, percent: int) -> DataFrame:
+    """``_doc, _key, _stay``: the numbers of the lines that stay, for every text that has one."""
     stay = kept_lines(docs, percent).groupBy("doc", "key").agg(F.collect_list("line").alias("_stay"))
+    return stay.withColumnsRenamed({"doc": "_doc", "key": "_key"})
+
+
+def _named(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
-    rows = docs.withColumns({"_doc": doc, "_key": F.xxhash64("text")})
-    stay = stay.withColumnsRenamed({"doc": "_doc", "key": "_key"})
-    return rows.join(stay, ["_doc", "_key"], "left").drop("_doc", "_key")
+    return docs.withColumns({"_doc": doc, "_key": F.xxhash64("text")})
 
 
 def remove_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -150,21 +158,23 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         lines, lambda x: F.coalesce(F.array_contains("_stay", x["i"]), F.lit(False)) | ~x["said"].rlike(f"[^{SPACE}]")
     )
     text = F.array_join(F.transform(stays, lambda x: x["said"]), "\n")
-    rows = _with_kept(docs, percent).withColumn("text", F.when(F.col("text").isNotNull(), text))
-    return rows.select(*docs.columns)
+    rows = _named(docs).join(_stay(docs, percent), ["_doc", "_key"], "left")
+    return rows.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Lines of every document, how many have words, and the numbers of those that stay."""
-    with_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    light = docs.select("doc_id", "text")
-    rows = _with_kept(light, percent)
+    split = F.split("text", "\n")
+    with_words = F.size(F.filter(split, lambda x: x.rlike(f"[^{SPACE}]")))
+    counted = _named(docs.select("doc_id", "text")).select(
+        "doc_id",
+        "_doc",
+        "_key",
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(with_words).cast("long").alias("_said"),
+    )
+    rows = counted.join(_stay(docs, percent), ["_doc", "_key"], "left")
     stay = F.sort_array(F.coalesce("_stay", F.array().cast("array<int>")))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    n_removed = F.coalesce(with_words, F.lit(0)).cast("long") - F.size(stay)
     return rows.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_removed).cast("long").alias("n_removed"),
-        F.array_join(stay, ",").alias("kept_lines"),
+        "doc_id", "n_lines", (F.col("_said") - F.size(stay)).alias("n_removed"), F.array_join(stay, ",").alias("kept_lines")
     )
