@@ -49,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def small_batches(
-    batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
+    batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in slices of about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:

@@ -13,7 +13,7 @@ from .common import mix64
 
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F))
 _STEP = np.uint64(0xE7037ED1A0B428DB)
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:

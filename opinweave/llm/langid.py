@@ -40,7 +40,7 @@ PART = 32
 CHAR_FLOOR = 1e-6
 PIECE_COUNT = 0.05
 ROUNDS = 3
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _RUN = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -262,7 +262,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores = model.predict(texts)
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]

@@ -203,7 +203,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*BASE, "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 2 << 20):
             base, x = statistics(batch.column(batch.schema.get_field_index("text")).fill_null(""))
             ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
             columns = [*batch.columns, *(pa.array(c, pa.int64()) for c in base.T)]
