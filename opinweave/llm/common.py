@@ -25,6 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Lets the session send texts to Python workers in batches of 4 MB instead of 64 MB.
+
+    A batch is held twice by the executor's JVM and twice by the worker, for every core.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import bounded_batches, small_batches
 from .html_pages import labelled_pages
 
 # Element names of HTML.
@@ -280,6 +280,7 @@ def extract(htmls: list[str], weights: np.ndarray, pair: np.ndarray) -> list[str
 
 def extract_pages(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """All columns but ``html``, with the main text in ``out`` and its length in ``n_chars``."""
+    bounded_batches(pages)
     weights, pair = train()
     kept = [c for c in pages.columns if c not in (html, out, "n_chars")]
 

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, small_batches
+from .common import bounded_batches, mix64, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -259,6 +259,7 @@ def train(docs: DataFrame, train_docs: int = 600, path: str = VOCABULARY) -> Mod
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``."""
+    bounded_batches(docs)
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, mix64, small_batches
+from .common import bounded_batches, cut, mix64, small_batches
 from .graph import components
 from .shingling import Powers, minhash, shingles, word_hashes
 
@@ -264,6 +264,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents are linked if 100 times the common shingles reach ``percent`` times all of them;
     ``component_id`` is the least id that links lead to.
     """
+    bounded_batches(docs)
     light = cut(signatures(docs, k))
     classes = light.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("signature").alias("signature")

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, small_batches, text_bytes
+from .common import bounded_batches, mix64, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -200,6 +200,7 @@ def boost(
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the base counts and ``features`` (an array of doubles)."""
+    bounded_batches(docs)
     docs = docs.drop(*BASE, "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

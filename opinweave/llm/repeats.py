@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, small_batches, text_bytes
+from .common import bounded_batches, cut, small_batches, text_bytes
 from .factors import anchors, pieces, removed
 
 SPAN, GRAM = 100, 32
@@ -194,6 +194,7 @@ def _resolved(span: int, gram: int):
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """All columns of ``docs`` with ``kept`` (the bytes left), ``n_bytes``, ``n_removed``, ``n_spans``."""
+    bounded_batches(docs)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     text = F.coalesce("text", F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
