@@ -240,7 +240,8 @@ def train(docs: DataFrame, train_docs: int = 600, path: str = VOCABULARY) -> Mod
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("_n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.join(counts.select("lang", share.alias("_share")), "lang").where(draw < F.col("_share"))
+    shares = F.broadcast(counts.select("lang", share.alias("_share")))  # a row per language
+    sample = labelled.join(shares, "lang").where(draw < F.col("_share"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         words = Counter(w for text in rows["text"] for w in words_of(text))
