@@ -212,6 +212,15 @@ def quota(labels_from: str, key: str, total: str) -> str:
 
 CTE["quota_y"] = quota("lr", "y", "CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n) OVER ()) AS BIGINT)")
 CTE["marked_y"] = "SELECT id, s.y, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM split_y s JOIN quota_y q ON q.y = s.y"
+CTE["grams_tr"] = "SELECT g.* FROM grams g JOIN marked_y m ON m.id = g.id WHERE m.split = 'train'"
+CTE["n_tr"] = "SELECT count(*) AS n FROM marked_y WHERE split = 'train'"
+CTE["tfv_tr"] = (
+    "SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM grams_tr GROUP BY term HAVING count(DISTINCT id) >= 2 "
+    "AND count(DISTINCT id) <= CAST(0.95 AS DOUBLE) * (SELECT n FROM n_tr) ORDER BY cf DESC, term LIMIT 100"
+)
+CTE["idf_tr"] = (
+    "SELECT *, ln((1 + (SELECT n FROM n_tr)) / CAST(1 + df AS DOUBLE)) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS pos FROM tfv_tr"
+)
 CTE["quota_v"] = quota("embeddings", "label", "CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n) OVER ()) AS BIGINT)")
 CTE["vmarked"] = "SELECT vec_id, pos, v, rn > quota AS train FROM vlong l JOIN quota_v q ON q.label = l.label"
 CTE["vstats"] = (
@@ -307,6 +316,7 @@ def _similarity(centre: str) -> str:
 
 BODY = {
     "theme_sentiment": _pct_columns("thsn", "theme", "sentiment_label", THEME_SENTIMENT_ORDER),
+    "scan_review_files": "SELECT origin, content, count(*) AS n FROM (SELECT 'documents' AS origin, text AS content FROM documents UNION ALL SELECT 'conversations', text FROM conversations) WHERE content <> '' GROUP BY ALL",
     "scan_reviews": "SELECT source AS app, text AS content, doc_id, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, NULL::BIGINT AS item_id FROM documents "
     "UNION ALL SELECT 'conversations', text, NULL, conv_id, turn, NULL FROM conversations UNION ALL SELECT 'benchmark', text, NULL, NULL, NULL, item_id FROM benchmark",
     "resolve_text_column": "SELECT conv_id, turn, text AS content FROM conversations",
@@ -335,6 +345,7 @@ BODY = {
     "format_pct": "SELECT app, round_even(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS pct FROM (SELECT app, count(*) AS n FROM r GROUP BY app)",
     "key_concat": "SELECT p_partkey, p_brand || ' (' || p_type || ')' AS key FROM part",
     "filter_english": "SELECT id FROM eng",
+    "filter_english_joined": "SELECT id FROM eng",
     "filter_label": "SELECT id, app FROM sn WHERE sentiment = 0",
     "filter_notnull": "SELECT id, theme, sentiment FROM thsn WHERE theme IS NOT NULL",
     "filter_in_set": "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')",
@@ -353,7 +364,7 @@ BODY = {
     "attach_labels": f"SELECT c.id, l.sentiment_label FROM c LEFT JOIN (SELECT DISTINCT cleaned_text, {LABEL_CASE.format('y')} AS sentiment_label FROM lr) l ON l.cleaned_text = c.cleaned_text",
     "theme_cross": "SELECT ord, theme, subtheme, count(*) AS n, CAST(sum(score) AS BIGINT) AS points FROM ts GROUP BY ord, theme, subtheme",
     "vocab_lookup": "SELECT word, count(*) AS n FROM tok SEMI JOIN vocab USING (word) GROUP BY word",
-    "stopword_removal": "SELECT id, count(*) AS n FROM tok WHERE word NOT IN (SELECT word FROM tok GROUP BY word HAVING count(*) >= 1000) GROUP BY id",
+    "stopword_removal": f"SELECT id, count(*) AS n FROM tok WHERE NOT list_contains({text_list(sorted(lex.stopwords()))}, word) GROUP BY id",
     "lookup_map": "SELECT id, emotion, CASE emotion " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in lex.EMOTION_COLOURS.items() if k != "neutral") + f" ELSE {q(lex.OTHER_COLOUR)} END AS colour FROM em",
     "label_distribution": _distribution("th", "theme"),
     "label_distribution_ordered": "SELECT sentiment_label AS label, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM (SELECT sentiment_label, count(*) AS n FROM sn GROUP BY sentiment_label)",
@@ -394,7 +405,7 @@ BODY = {
     "set_union": f"SELECT unnest({space_tokens('text')}) AS word FROM benchmark UNION SELECT unnest({space_tokens('text')}) FROM conversations",
     "stratified_split": "SELECT id, y, split FROM marked_y",
     "tfidf_vocabulary": "SELECT term, cf, df, round(idf, 6) AS idf FROM idf",
-    "tfidf_features": "SELECT id, pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS value FROM (SELECT g.id, i.pos, count(*) * any_value(i.idf) AS w FROM grams g JOIN idf i ON i.term = g.term GROUP BY g.id, i.pos)",
+    "tfidf_features": "SELECT id, pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS value FROM (SELECT g.id, i.pos, count(*) * any_value(i.idf) AS w FROM grams g JOIN idf_tr i ON i.term = g.term JOIN marked_y m ON m.id = g.id WHERE m.split = 'test' GROUP BY g.id, i.pos)",
     "standard_scale": _scaled_by.format("(v - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END"),
     "minmax_scale": _scaled_by.format("(v - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END"),
     "build_vocabulary": "SELECT word, idx FROM seqvoc",

@@ -58,6 +58,22 @@ def theme_sentiment(s, sf):
 # ------------------------------------------------------------ sources
 
 
+@query
+def scan_review_files(s, sf):
+    """Tables written as CSV files with differing headers, found and read again."""
+    path = new_folder(s, "csv")
+    texts = {
+        "documents": F.col("text").alias("Review Text"),
+        "conversations": F.col("text").alias("content"),
+    }
+    for name, text in texts.items():
+        rows = x.table(s, sf, name).select(text, F.lit(name).alias("origin"))
+        rows.write.options(**rd.CSV, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").mode(
+            "append"
+        ).csv(path)
+    return rd.scan_review_files(s, path).groupBy("origin", "content").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def scan_reviews(s, sf):
     docs = x.table(s, sf, "documents").withColumn("app", F.col("source"))
@@ -253,6 +269,12 @@ def filter_english(s, sf):
     return fl.filter_english(x.reviews(s, sf), x.vocabulary(s, sf)).select("id")
 
 
+@query
+def filter_english_joined(s, sf):
+    """The same filter for a vocabulary that is too large for the plan."""
+    return fl.filter_english(x.reviews(s, sf), x.vocabulary(s, sf), inline_words=0).select("id")
+
+
 @query
 def filter_label(s, sf):
     return fl.filter_label(x.sentiment(s, sf), "sentiment", 0).select("id", "app")
@@ -335,7 +357,7 @@ def _quality_features(df: DataFrame, text: str) -> DataFrame:
 def score_sentiment(s, sf):
     """A model fitted on the quality labels as a two-class scorer of every review."""
     train = _quality_features(x.labelled_reviews(s, sf), "cleaned_text")
-    fitted = ln.train_logistic(train, label="quality", max_iter=50)
+    fitted = ln.train_logistic(train, label="quality")
     scorer = lambda df, text: fitted.predict(_quality_features(df, text), "class_idx").drop("features")
     scored = lab.with_class_sentiment(x.cleaned(s, sf), scorer, lex.TWO_CLASSES)
     return scored.select("id", "sentiment")
@@ -357,7 +379,7 @@ def score_toxicity(s, sf):
         return _quality_features(df, text).withColumn("features", array_to_vector("features"))
 
     train = features(x.labelled_reviews(s, sf), "cleaned_text")
-    model = LogisticRegression(labelCol="toxic", maxIter=50, regParam=0.01).fit(train)
+    model = LogisticRegression(labelCol="toxic", regParam=0.01).fit(train)
     p = vector_to_array(F.col("probability"))[1]
     scorer = lab.model_scorer(model, features, "toxicity_score", p)
     scored = lab.with_toxicity(x.cleaned(s, sf), scorer)
@@ -400,8 +422,8 @@ def vocab_lookup(s, sf):
 
 @query
 def stopword_removal(s, sf):
-    frequent = x.tokens(s, sf).groupBy("word").count().where("count >= 1000").select("word")
-    left = jn.stopword_removal(x.tokens(s, sf), frequent)
+    stop = s.createDataFrame([(w,) for w in sorted(lex.stopwords())], "word STRING")
+    left = jn.stopword_removal(x.tokens(s, sf), stop)
     return left.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -537,11 +559,9 @@ def vector_mean(s, sf):
 
 @query
 def percentile_thresholds(s, sf):
-    values = x.table(s, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
-    low, high = exact_percentiles(x.table(s, sf, "lineitem"), "l_extendedprice", [0.3, 0.7])
-    return values.agg(F.sum("n_rows").alias("n_rows")).select(
+    rows = x.table(s, sf, "lineitem")
+    low, high = exact_percentiles(rows, "l_extendedprice", [0.3, 0.7])
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", F.round(F.lit(low), DIGITS).alias("p30"), F.round(F.lit(high), DIGITS).alias("p70")
     )
 
@@ -617,9 +637,9 @@ def tfidf_vocabulary(s, sf):
 
 @query
 def tfidf_features(s, sf):
-    rows = x.cleaned(s, sf)
-    model = ft.tfidf_model(ft.tfidf_vocabulary(rows))
-    return _long(ft.with_tfidf(rows, model), ["id"], "features").where("value > 0")
+    train, test = reports.split_rows(x.labelled_reviews(s, sf).select("id", "y", "cleaned_text"))
+    _, test = reports.tfidf_rows(train, test)
+    return _long(test, ["id"], "features").where("value > 0")
 
 
 def _split_vectors(s, sf):
@@ -694,7 +714,7 @@ def train_naive_bayes(s, sf):
 
 @query
 def train_svm(s, sf):
-    return _learn(s, sf, "SVM", max_iter=30)
+    return _learn(s, sf, "SVM")
 
 
 @query
@@ -736,13 +756,18 @@ def similarity_pseudo_labels(s, sf):
 @query
 def train_sequence_classifier(s, sf):
     rows = lab.with_lexicon_sentiment(x.cleaned(s, sf), out="pseudo_label")
-    return ln.train_sequence_classifier(rows, dim=64).select("id", "pseudo_label", "ground_truth")
+    return ln.train_sequence_classifier(rows).select("id", "pseudo_label", "ground_truth")
+
+
+@query
+def pseudo_label_flow(s, sf):
+    return reports.pseudo_label_report(lab.with_lexicon_sentiment(x.cleaned(s, sf)))
 
 
 @query
 def train_on_tfidf(s, sf):
     rows = x.labelled_reviews(s, sf).select("id", "y", "cleaned_text")
-    return _r(reports.train_on_tfidf(rows, max_iter=50), *ev.METRICS)
+    return _r(reports.train_on_tfidf(rows), *ev.METRICS)
 
 
 @query

@@ -46,12 +46,16 @@ def lookup(key: Column | str, table: Mapping, default) -> Column:
 
 
 def argmax_map(scores: Column | str, order: Sequence[str]) -> Column:
-    """Struct ``(label, score)`` of the highest score; ties go to the earlier label."""
+    """Struct ``(label, score)`` of the highest score; ties go to the earlier label.
+
+    Labels that ``order`` lacks come after all others.
+    """
+    place = lambda key: F.array_position(F.lit(list(order)), key)
     ranked = F.transform(
         F.map_entries(_col(scores)),
         lambda e: F.struct(
             e["value"].alias("score"),
-            (-F.array_position(F.lit(list(order)), e["key"])).alias("rank"),
+            F.when(place(e["key"]) > 0, -place(e["key"])).otherwise(-len(order) - 1).cast("long").alias("rank"),
             e["key"].alias("label"),
         ),
     )

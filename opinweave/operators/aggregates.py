@@ -38,20 +38,37 @@ def label_distribution_ordered(df: DataFrame, code: str = "sentiment") -> DataFr
     return counts.orderBy(code).select(label_decode(code).alias("label"), "n", "pct")
 
 
+def _all_labels(df: DataFrame, label: str) -> list[str]:
+    """The labels that occur, by name: a label column has few values."""
+    found = df.where(F.col(label).isNotNull()).select(label).distinct().collect()
+    return sorted(r[label] for r in found)
+
+
 def crosstab_counts(
-    df: DataFrame, row: str, label: str, labels: Sequence[str] = tuple(SENTIMENT_LABELS)
+    df: DataFrame, row: str, label: str, labels: Sequence[str] | None = tuple(SENTIMENT_LABELS)
 ) -> DataFrame:
-    """One row per ``row`` value, one count column per label, by falling row total."""
+    """One row per ``row`` value, one count column per label, by falling row total.
+
+    With ``labels=None`` every label that occurs has a column. A label outside a given list has
+    none, but counts in the row total.
+    """
+    labels = _all_labels(df, label) if labels is None else labels
     counts = df.where(F.col(row).isNotNull() & F.col(label).isNotNull()).groupBy(row).agg(
-        *(F.count_if(F.col(label) == v).alias(v) for v in labels)
+        *(F.count_if(F.col(label) == v).alias(v) for v in labels), F.count(F.lit(1)).alias("_total")
     )
-    total = sum((F.col(v) for v in labels[1:]), F.col(labels[0]))
-    return counts.orderBy(total.desc(), row)
+    return counts.orderBy(F.desc("_total"), row).drop("_total")
 
 
-def crosstab_row_pct(df: DataFrame, row: str, label: str, labels: Sequence[str]) -> DataFrame:
-    """Row percentages with fixed label columns; rows by name."""
-    counts = df.where(F.col(row).isNotNull() & F.col(label).isin(list(labels))).groupBy(row).agg(
+def crosstab_row_pct(
+    df: DataFrame, row: str, label: str, labels: Sequence[str] | None = None
+) -> DataFrame:
+    """Percentages of all labelled rows of a ``row`` value, a column per label; rows by name.
+
+    With ``labels=None`` every label that occurs has a column; a label outside a given list
+    counts in the whole.
+    """
+    labels = _all_labels(df, label) if labels is None else labels
+    counts = df.where(F.col(row).isNotNull() & F.col(label).isNotNull()).groupBy(row).agg(
         *(_pct(F.count_if(F.col(label) == v), F.count(F.lit(1))).alias(v) for v in labels)
     )
     return counts.orderBy(row)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.lexicons import ENGLISH_STOPWORDS
 from ..functions.text import known_ngrams, space_tokens, word_ngrams
 from ..functions.vectors import l2_normalize
-from .skew import BROADCAST_ROWS, attach, hash_buckets, hash_order
+from .skew import BROADCAST_ROWS, hash_buckets, hash_order
 from .staged import computed
 
 # ------------------------------------------------------------ split and sample
@@ -67,8 +68,10 @@ def stratified_split(
     Rows are ordered by md5 of id and seed; the first ones of each label are the test set.
     The cut is found from counts per md5 prefix and one prefix's rows, so the frame itself is
     neither shuffled nor sorted. Without stratification (``label=None``) all rows are one
-    group.
+    group; with it, rows without a label go.
     """
+    if label:
+        df = df.where(F.col(label).isNotNull())
     group = label or "_all"
     rows = df if label else df.withColumn("_all", F.lit(0))
     keyed = rows.select(group, F.col(id_col).alias("_id"), hash_order(id_col, seed).alias("_order"))
@@ -93,8 +96,9 @@ def stratified_sample(
 
     Adds ``draw``, the number of the draw within its label. Draw ``j`` takes the row whose
     place in the label's md5 order is ``(j * 2654435761 + seed) mod n``. Only the md5
-    prefixes that hold a drawn row are ranked.
+    prefixes that hold a drawn row are ranked. Rows without a label are never drawn.
     """
+    df = df.where(F.col(label).isNotNull())
     keyed = df.withColumn("_order", hash_order(id_col, seed))
     counts = _label_counts(keyed, label)
     quota = _largest_remainder(counts, min(size, sum(counts.values())))
@@ -268,22 +272,37 @@ def build_vocabulary(
     return early.select("word", idx.alias("idx"))
 
 
-def encode_sequences(
+def with_sequences(
     df: DataFrame,
     vocabulary: DataFrame,
-    id_col: str = "id",
     text: str = "cleaned_text",
     length: int = 256,
+    max_words: int = 10_000,
+    out: str = "ids",
 ) -> DataFrame:
-    """``id, ids``: the first ``length`` tokens as ids, 1 for unknown words, padded with 0."""
-    tokens = df.select(
-        F.col(id_col), F.posexplode_outer(F.slice(space_tokens(text), 1, length)).alias("_pos", "word")
-    )
-    found = attach(tokens, vocabulary, ["word"], "left")
-    value = F.when(F.col("word").isNotNull(), F.coalesce("idx", F.lit(1)))
-    # a group has at most `length` rows
-    pairs = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("_pos", value.alias("i"))))
-    grouped = found.groupBy(id_col).agg(F.array_sort(pairs).alias("_pairs"))
-    ids = F.transform("_pairs", lambda p: p["i"])
-    padding = F.array_repeat(F.lit(0), F.lit(length) - F.size("_pairs"))
-    return grouped.select(id_col, F.concat(ids, padding).alias("ids"))
+    """Adds the first ``length`` tokens as ids, 1 for unknown words, padded with 0.
+
+    The vocabulary has at most ``max_words`` entries by its definition, so it travels with the
+    function that looks words up; no row is shuffled, and ids may repeat or be missing.
+    """
+    rows = vocabulary.select("word", "idx").limit(max_words + 1).collect()
+    if len(rows) > max_words:
+        raise ValueError(f"the vocabulary has more than {max_words} words")
+    index = {r["word"]: r["idx"] for r in rows}
+
+    @F.pandas_udf("array<int>")
+    def encoded(tokens: pd.Series) -> pd.Series:
+        def one(words) -> list[int]:
+            ids = [] if words is None else [index.get(w, 1) for w in words]
+            return ids + [0] * (length - len(ids))
+
+        return tokens.map(one, na_action=None)
+
+    return df.withColumn(out, encoded(F.slice(space_tokens(text), 1, length)))
+
+
+def encode_sequences(
+    df: DataFrame, vocabulary: DataFrame, id_col: str = "id", text: str = "cleaned_text", length: int = 256
+) -> DataFrame:
+    """``id, ids`` of every row."""
+    return with_sequences(df.select(id_col, text), vocabulary, text, length).select(id_col, "ids")

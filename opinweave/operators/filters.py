@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.labels import sql_text
 from ..functions.lexicons import NA_TOKENS
-from .skew import BROADCAST_ROWS, bounded_rows, broadcast_if_small, salted_join
+from .skew import BROADCAST_ROWS, attach, bounded_rows
 from .staged import computed
 
 INLINE_WORDS = 20_000
@@ -23,27 +23,28 @@ def drop_missing_text(df: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
-def english_share(df: DataFrame, vocab: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, share)``: share of letter-only tokens that are in the distinct ``vocab``.
+def _text_key(text: str) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), F.col(text)).alias("_k2")]
 
-    The exploded tokens carry only the id and fold to one row per id before the shuffle.
+
+def english_share(df: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
+    """``(_k1, _k2, share)``: share of letter-only tokens of a text in the distinct ``vocab``.
+
+    The share depends on the text alone, so rows fold to one per text before the shuffle, and
+    ids may repeat or be missing.
     """
     tokens = df.where(~tx.has_bengali(text)).select(
-        id_col, F.explode(tx.english_tokens(text)).alias("word")
+        *_text_key(text), F.explode(tx.english_tokens(text)).alias("word")
     )
     known = vocab.withColumn("_hit", F.lit(1))
-    small = broadcast_if_small(known, 10 * BROADCAST_ROWS)
-    if small is not None:
-        joined = tokens.join(small, "word", "left")
-    else:
-        joined = salted_join(tokens, known, ["word"], "left", [id_col])
-    return joined.groupBy(id_col).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("share"))
+    joined = attach(tokens, known, ["word"], "left", 10 * BROADCAST_ROWS)
+    return joined.groupBy("_k1", "_k2").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("share"))
 
 
 def filter_english(
     df: DataFrame,
     vocab: DataFrame,
-    id_col: str = "id",
     text: str = "content",
     min_share: float = 0.8,
     inline_words: int = INLINE_WORDS,
@@ -51,10 +52,10 @@ def filter_english(
     """Rows without Bengali script whose share of vocabulary words is at least ``min_share``.
 
     A vocabulary of at most ``inline_words`` words becomes a hash set inside the filter, so
-    no row is shuffled. A larger one is joined to the exploded tokens, and the ids that
-    pass are joined back.
+    no row is shuffled. A larger one is joined to the exploded tokens, and the texts that
+    pass are joined back. Both ways keep the same rows; NULL words do not count.
     """
-    known = vocab.select(F.lower("word").alias("word")).distinct()
+    known = vocab.select(F.lower("word").alias("word")).where("word is not null").distinct()
     known = known.persist(StorageLevel.MEMORY_AND_DISK)
     rows = bounded_rows(known, inline_words)
     if rows is not None:
@@ -65,8 +66,9 @@ def filter_english(
         hits = F.expr(f"size(filter(_tokens, t -> t IN ({words})))")
         share = F.when(F.size("_tokens") > 0, hits.cast("double") / F.size("_tokens"))
         return staged.where(share >= F.lit(min_share)).drop("_tokens")
-    shares = english_share(df, known, id_col, text)
-    return df.join(shares.where(F.col("share") >= F.lit(min_share)), id_col, "left_semi")
+    passed = english_share(df, known, text).where(F.col("share") >= F.lit(min_share))
+    keyed = df.select("*", *_text_key(text))
+    return keyed.join(passed, ["_k1", "_k2"], "left_semi").select(*df.columns)
 
 
 def mark_english(kept: DataFrame) -> DataFrame:

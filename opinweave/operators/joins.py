@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..functions.labels import lookup
-from .skew import attach, salted_join
+from .skew import attach
 
 
 def attach_labels(
@@ -16,10 +16,10 @@ def attach_labels(
 ) -> DataFrame:
     """Left join of the distinct (text, label) pairs; a text with two labels fans out.
 
-    A frequent text is a hot key on the review side only, where it is salted.
+    The labelled side is broadcast if it is small; else a frequent text is a hot key on the
+    review side only, which adaptive execution splits.
     """
-    right = labelled.select(on, label).distinct()
-    return salted_join(reviews, right, [on], "left")
+    return attach(reviews, labelled.select(on, label).distinct(), [on], "left")
 
 
 def vocab_lookup(tokens: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:

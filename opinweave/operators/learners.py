@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -28,10 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import space_tokens
 from ..plans.workspace import ensure_checkpoint_dir
 from .evaluation import classification_metrics
-from .features import minmax_scaler, standard_scaler
+from .features import build_vocabulary, minmax_scaler, standard_scaler, with_sequences
 
 log = logging.getLogger(__name__)
-ROWS_PER_TASK = 20_000
 
 # ------------------------------------------------------------ embeddings
 
@@ -88,12 +88,10 @@ class Fitted:
 def _training_rows(rows: DataFrame) -> DataFrame:
     """Rows kept for the passes of an iterative fit, in tasks of a useful size.
 
-    A learner runs one or more jobs per iteration, so a small training set is put in few
-    partitions; a large one keeps all of its own.
+    A learner runs one or more jobs per iteration. The rows are made by all tasks that their
+    source has, then dealt anew: the rebalance hint merges small partitions and splits large ones.
     """
-    n = rows.count()
-    few = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
-    return few.persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_estimator(train: DataFrame, estimator, features: str, label: str) -> Fitted:
@@ -212,6 +210,16 @@ def train_svm(train, features="features", label="y", width=256, c=1.0, max_iter=
     return Fitted(transform, fitted.classes, features)
 
 
+def _stump(model) -> tuple[int, float, int, int]:
+    """Feature, cut and the classes at and above it, of a tree of one split at most."""
+    root = model._call_java("rootNode")
+    if model.numNodes == 1:
+        return 0, math.inf, int(root.prediction()), int(root.prediction())
+    split = root.split()
+    left, right = root.leftChild().prediction(), root.rightChild().prediction()
+    return split.featureIndex(), split.threshold(), int(left), int(right)
+
+
 def train_adaboost(
     train, features="features", label="y", rounds=200, rate=0.1, seed=42, checkpoint_every=10
 ) -> Fitted:
@@ -253,24 +261,17 @@ def train_adaboost(
             rows = rows.checkpoint(eager=True)
     first.unpersist()
 
+    at, cut, low, high, weight = (np.array(c) for c in zip(*(_stump(m) + (a,) for m, a in votes), strict=True))
+
+    @F.pandas_udf("double")
+    def voted(x: pd.Series) -> pd.Series:
+        matrix = np.stack(x.to_numpy()) if len(x) else np.empty((0, at.max(initial=0) + 1))
+        chosen = np.where(matrix[:, at] <= cut, low, high)
+        totals = np.stack([(weight * (chosen == c)).sum(axis=1) for c in range(k)], axis=1)
+        return pd.Series(totals.argmax(axis=1).astype(float))
+
     def transform(data: DataFrame) -> DataFrame:
-        totals = [F.lit(0.0)] * k
-        out = data
-        columns = []
-        for i, (model, alpha) in enumerate(votes):
-            name = f"_p{i}"
-            out = model.copy().setPredictionCol(name).setRawPredictionCol("").setProbabilityCol("")\
-                .transform(out)
-            columns.append((name, alpha))
-        for name, alpha in columns:
-            totals = [
-                t + F.when(F.col(name) == c, F.lit(alpha)).otherwise(F.lit(0.0))
-                for c, t in enumerate(totals)
-            ]
-        best = F.array(*totals)
-        return out.withColumn(
-            "prediction", (F.array_position(best, F.array_max(best)) - 1).cast("double")
-        )
+        return data.withColumn("prediction", voted(vector_to_array("_x")))
 
     return Fitted(transform, classes, features)
 
@@ -333,9 +334,11 @@ def model_grid(
     text: str = "cleaned_text",
     label: str = "y",
 ) -> DataFrame:
-    """``model, embedding, accuracy, precision, recall, f1`` for every pair that can be trained.
+    """``model, embedding, accuracy, precision, recall, f1, error`` for every pair.
 
-    A learner that fails, or needs two classes where training has one, is left out.
+    A learner that needs two classes where training has one is left out. One whose settings or
+    data MLlib rejects has NULL metrics and the reason in ``error``; failures of the cluster end
+    the grid.
     """
     learners = LEARNERS if learners is None else learners
     classes = train.agg(F.count_distinct(label).alias("n")).first()["n"]
@@ -353,22 +356,40 @@ def model_grid(
                     F.col(label).alias("y"), "yhat",
                 )
                 rows = classification_metrics(keyed, ("model", "embedding")).collect()
-                results += [tuple(r) for r in rows]
-            except Exception as e:  # one learner must not end the grid
-                log.warning("%s on %s was skipped: %s", name, embedding, e)
+                results += [(*r, None) for r in rows]
+            except (ValueError, IllegalArgumentException) as e:
+                log.warning("%s on %s: %s", name, embedding, e)
+                results.append((name, embedding, None, None, None, None, str(e).splitlines()[0]))
         a.unpersist()
         b.unpersist()
-    schema = "model STRING, embedding STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE"
+    schema = "model STRING, embedding STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, error STRING"
     return train.sparkSession.createDataFrame(results, schema)
 
 
+def sequence_features(df: DataFrame, ids: str = "ids", dim: int = 256, out: str = "features") -> DataFrame:
+    """Adds the unit-length hashed counts of a sequence's ids and of its neighbouring ids.
+
+    Padding does not count; pairs of neighbours carry the order of words.
+    """
+    used = F.filter(F.col(ids), lambda i: i != 0).cast("array<string>")
+    pairs = F.zip_with(used, F.slice(used, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
+    terms = F.concat(used, F.slice(pairs, 1, F.greatest(F.size(used) - 1, F.lit(0))))
+    hasher = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dim)
+    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)
+    rows = unit.transform(hasher.transform(df.withColumn("_terms", terms)))
+    return rows.withColumn(out, vector_to_array("_unit")).drop("_terms", "_tf", "_unit")
+
+
 def train_sequence_classifier(
     df: DataFrame, pseudo: str = "pseudo_label", id_col: str = "id", text: str = "cleaned_text",
     dim: int = 256, fallback: str | None = None,
 ) -> DataFrame:
-    """Self-training: fit on pseudo-labels, then label every row again as ``ground_truth``."""
-    embed = hashing_embedder(dim)
-    rows = embed(df, text).withColumnRenamed("embedding", "features").persist()
+    """Self-training: fit on pseudo-labels, then label every row again as ``ground_truth``.
+
+    The features are those of the rows' token ids in a vocabulary of their own.
+    """
+    coded = with_sequences(df, build_vocabulary(df, id_col, text), text)
+    rows = sequence_features(coded, dim=dim).drop("ids").persist()
     fitted = train_perceptron(rows, label=pseudo)
     scored = fitted.predict(rows, "ground_truth").drop("features")
     if fallback is not None:

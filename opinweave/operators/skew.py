@@ -1,4 +1,4 @@
-"""Joins and ranks that stay balanced when one key holds a large share of the rows."""
+"""Checked broadcasts, exact percentiles, and ranks by hash."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 BROADCAST_ROWS = 100_000
-HOT_SHARE = 1_000
-SALTS = 32
 
 
 def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
@@ -31,54 +29,6 @@ def broadcast_if_small(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame
     return None
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 10_000) -> list[int]:
-    """Hashes of the keys that hold more than a thousandth of all rows (so at most 999).
-
-    A key of up to ``min_rows`` rows hurts no task and does not count.
-    """
-    hashed = df.select(F.xxhash64(*keys).alias("h"))
-    counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        floor = max(total // HOT_SHARE, min_rows)
-        return [r["h"] for r in counts.where(F.col("n") > floor).collect()]
-    finally:
-        counts.unpersist()
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    spread: Sequence[str] | None = None,
-    salts: int = SALTS,
-    hot: Sequence[int] | None = None,
-) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` partitions.
-
-    Only rows with a hot key are salted on the left and repeated on the right, so the cost
-    of the other keys does not change. ``spread`` names the columns that tell apart left
-    rows of one key.
-    """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"cannot salt the left side of a {how} join")
-    keys = list(keys)
-    hot = hot_keys(left, keys) if hot is None else list(hot)
-    if not hot:
-        return left.join(right, keys, how)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    spread = list(spread or [c for c in left.columns if c not in keys])
-    row_salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
-    all_salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_left = left.withColumn("_salt", row_salt.cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(all_salts))
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
-
-
 def attach(
     df: DataFrame,
     dim: DataFrame,
@@ -86,11 +36,13 @@ def attach(
     how: str = "left",
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a dimension: broadcast after a size check, else a salted shuffle join."""
+    """Join a dimension: broadcast after a size check, else by a shuffle.
+
+    A hot key of the shuffle is left to adaptive execution, which splits its rows whatever
+    their other columns hold.
+    """
     small = broadcast_if_small(dim, limit)
-    if small is not None:
-        return df.join(small, list(keys), how)
-    return salted_join(df, dim, keys, how)
+    return df.join(dim if small is None else small, list(keys), how)
 
 
 # ------------------------------------------------------------ exact percentiles
@@ -99,10 +51,12 @@ def attach(
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float] | None:
     """Linear-interpolated percentiles, exact, like ``approxQuantile`` an action.
 
+    NULL and NaN values do not count.
+
     A quantile sketch brackets each percentile; only the distinct values inside a bracket
     (about ``n / accuracy`` of them) are sorted. Nothing else is shuffled.
     """
-    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     values = values.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = values.count()
@@ -137,6 +91,8 @@ def _percentile(values: DataFrame, n: int, p: float, accuracy: int) -> float:
         ).first()
         if below <= k and found["a"] is not None and found["b"] is not None:
             return found["a"] + (found["b"] - found["a"]) * part
+        if lo_p <= 0 and hi_p >= 1:
+            raise RuntimeError("the values changed between two passes")
         slack *= 4
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import lexicons as lex
 from ..operators import aggregates as agg, labellers as lab
 from ..operators.filters import filter_notnull
-from ..operators.learners import LEARNERS, fit_and_predict, model_grid
-from ..operators.evaluation import classification_metrics, leaderboard, metric_long_form
+from ..operators import pseudo_labels as ps
+from ..operators.learners import LEARNERS, fit_and_predict, hashing_embedder, model_grid, train_sequence_classifier
+from ..operators.evaluation import class_count, classification_metrics, leaderboard, metric_long_form
 from ..operators.features import stratified_split, tfidf_model, tfidf_vocabulary, with_tfidf
 
 Report = dict[str, DataFrame]
@@ -125,6 +126,32 @@ def train_on_tfidf(
     return classification_metrics(keyed, ("model",))
 
 
+def pseudo_label_report(
+    df: DataFrame, embed: Callable[[DataFrame, str], DataFrame] | None = None, text: str = "cleaned_text"
+) -> DataFrame:
+    """Labels without ground truth: ``id, pseudo_label, ground_truth``, from ``id``, text, ``sentiment``.
+
+    Clusters are named by seed words. If that names one class only, rows are labelled by their
+    similarity to a centre: the mean of the rows that the lexicon calls positive, else a few
+    positive phrases. A sequence classifier fitted on these labels gives the final one, and the
+    lexicon label stands in where it gives none.
+    """
+    embed = embed or hashing_embedder(256)
+    spark = df.sparkSession
+    rows = kept(embed(df, text))
+    negative = ps.seed_vector(spark, lex.NEGATIVE_SEEDS, embed)
+    positive = ps.seed_vector(spark, lex.POSITIVE_SEEDS, embed)
+    labelled = ps.kmeans_pseudo_labels(rows, negative, positive).drop("cluster")
+    if class_count(labelled, "pseudo_label") < 2:
+        liked = rows.where("sentiment = 2")
+        centre = ps.seed_vector(spark, lex.POSITIVE_PHRASES, embed)
+        if not liked.isEmpty():
+            centre = ps.mean_vector(liked, "embedding")
+        labelled = ps.similarity_pseudo_labels(rows, centre).drop("similarity")
+    scored = train_sequence_classifier(labelled.drop("embedding"), text=text, fallback="sentiment")
+    return scored.select("id", "sentiment", "pseudo_label", "ground_truth")
+
+
 def training_report(
     df: DataFrame,
     embeddings: dict[str, Callable[[DataFrame, str], DataFrame]],

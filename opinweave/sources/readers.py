@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -53,27 +54,43 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive
     return [r["path"] for r in listing.where("length > 0").orderBy("path").collect()]
 
 
-def scan_review_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def file_shapes(spark: SparkSession, files: Sequence[str]) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """Files by header and by whether a cell holds a line break, from one distributed scan."""
+    lines = spark.read.text(list(files)).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")
+    )
+    # a cell with a line break leaves a line with an odd number of quotes
+    is_open = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    shapes = lines.groupBy("file_path").agg(
+        F.min(F.struct("file_block_start", "id", "value")).alias("first"),
+        F.bool_or(is_open % 2 == 1).alias("broken"),
+    )
+    found = defaultdict(list)
+    for r in shapes.orderBy("file_path").collect():  # one row per file, as in the listing
+        header = tuple(next(csv.reader([r["first"]["value"].removeprefix("\ufeff")]), ()))
+        found[header, r["broken"]].append(r["file_path"])
+    return found
+
+
+def scan_review_files(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All review files of a directory as one frame with ``content`` and ``app``.
 
-    Files are grouped by header, each group is one scan with a fixed string schema, and the
-    scans are united by column name. Set ``multi_line=False`` for large files without line
-    breaks inside cells: only then can one file be split over tasks.
+    One scan finds the headers; files are grouped by header, each group is one scan with a
+    fixed string schema, and the scans are united by column name. Only files with line breaks
+    inside cells are read by one task each; ``multi_line`` states it for all files.
     """
-    by_header = defaultdict(list)
-    for file in list_files(spark, path):
-        header = tuple(spark.read.options(**CSV).csv(file).columns)
-        if text_column(header) is not None:
-            by_header[header].append(file)
-    if not by_header:
-        raise FileNotFoundError(f"no review files in {path}")
+    files = list_files(spark, path)
     frames = []
-    for header, files in by_header.items():
+    for (header, broken), group in file_shapes(spark, files).items() if files else ():
+        if text_column(header) is None:
+            continue
         schema = ", ".join(f"`{c}` STRING" for c in header)
-        reader = spark.read.options(**CSV, multiLine=str(multi_line).lower()).schema(schema)
-        raw = reader.csv(files)
+        whole = broken if multi_line is None else multi_line
+        raw = spark.read.options(**CSV, multiLine=str(whole).lower()).schema(schema).csv(group)
         tagged = raw.select("*", source_tag(F.col("_metadata.file_name")).alias("app"))
         frames.append(drop_missing_text(resolve_text_column(tagged)))
+    if not frames:
+        raise FileNotFoundError(f"no review files in {path}")
     reviews = union_all(frames)
     if "is_english" in reviews.columns:
         reviews = reviews.withColumn("is_english", F.col("is_english").cast("boolean"))

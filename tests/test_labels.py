@@ -92,6 +92,18 @@ def test_softmax_and_argmax(spark):
     tie = F.create_map(F.lit("b"), F.lit(0.5), F.lit("a"), F.lit(0.5))
     top = spark.range(1).select(fn.argmax_map(tie, ["b", "a"]).alias("t")).first()["t"]
     assert (top["label"], top["score"]) == ("b", 0.5)
+    unknown = spark.range(1).select(fn.argmax_map(tie, ["a"]).alias("t")).first()["t"]
+    assert unknown["label"] == "a"
+
+
+def test_crosstab_counts_labels_outside_the_list(spark):
+    from opinweave.operators import aggregates as agg
+
+    df = spark.createDataFrame([("x", "joy"), ("x", "trust")], "app STRING, emotion STRING")
+    assert agg.crosstab_row_pct(df, "app", "emotion", ["joy"]).collect()[0].asDict() == {"app": "x", "joy": 50.0}
+    every = agg.crosstab_row_pct(df, "app", "emotion").collect()[0].asDict()
+    assert every == {"app": "x", "joy": 50.0, "trust": 50.0}
+    assert agg.crosstab_counts(df, "app", "emotion", None).collect()[0].asDict() == {"app": "x", "joy": 1, "trust": 1}
 
 
 def test_remap_and_coalesce(spark):

@@ -1,5 +1,4 @@
-import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 from hashlib import md5
 import math
 
@@ -10,22 +9,6 @@ from pyspark.sql import functions as F
 from opinweave.operators import evaluation as ev, features as ft, filters as fl, joins as jn, skew
 
 
-def test_salted_join_equals_plain_join(spark):
-    rng = random.Random(1)
-    # one key holds a third of the rows
-    left = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(300)}") for i in range(6000)]
-    right = [("hot", "A"), ("hot", "B")] + [(f"k{i}", str(i)) for i in range(0, 300, 2)]
-    l, r = spark.createDataFrame(left, "id INT, k STRING"), spark.createDataFrame(right, "k STRING, v STRING")
-    hot = skew.hot_keys(l, ["k"], min_rows=100)
-    assert len(hot) == 1
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        got = skew.salted_join(l, r, ["k"], how, hot=hot)
-        want = l.join(r, "k", how)
-        assert Counter(map(tuple, got.select(sorted(got.columns)).collect())) == Counter(
-            map(tuple, want.select(sorted(want.columns)).collect())
-        )
-
-
 @pytest.mark.parametrize("limit", [10, 100_000])
 def test_attach_both_ways(spark, limit):
     df = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
@@ -101,6 +84,33 @@ def test_english_filter_both_ways(spark):
         assert got.columns == df.columns
 
 
+def test_english_filter_with_repeated_and_missing_ids(spark):
+    vocab = spark.createDataFrame([(w,) for w in ("aa", "bb", "cc", "dd", "ee", None)], "word STRING")
+    rows = [(1, "aa bb cc dd ee"), (1, "zz zz zz zz zz"), (None, "aa bb"), (2, "aa bb"), (None, None)]
+    df = spark.createDataFrame(rows, "id INT, content STRING")
+    for inline in (100, 0):
+        got = fl.filter_english(df, vocab, inline_words=inline).collect()
+        assert sorted((r["id"] or 0, r["content"]) for r in got) == [(0, "aa bb"), (1, "aa bb cc dd ee"), (2, "aa bb")]
+
+
+def test_attach_labels_of_equal_rows(spark):
+    reviews = spark.createDataFrame([("a",)] * 500 + [(None,)], "cleaned_text STRING")
+    marked = spark.createDataFrame([("a", "Positive")], "cleaned_text STRING, sentiment_label STRING")
+    got = jn.attach_labels(reviews, marked)
+    assert got.count() == 501 and got.where("sentiment_label = 'Positive'").count() == 500
+
+
+def test_percentiles_skip_nan(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(10)] + [(math.nan,)] * 5, "v DOUBLE")
+    assert skew.exact_percentiles(df, "v", [0.3, 0.9]) == pytest.approx([2.7, 8.1])
+
+
+def test_split_and_sample_skip_rows_without_a_label(spark):
+    df = spark.createDataFrame([(i, i % 2 if i % 5 else None) for i in range(100)], "id LONG, y INT")
+    assert ft.stratified_split(df).count() == 80
+    assert ft.stratified_sample(df, size=20).where("y is null").count() == 0
+
+
 def test_attach_labels_fans_out(spark):
     reviews = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id INT, cleaned_text STRING")
     marked = spark.createDataFrame(
@@ -134,6 +144,10 @@ def test_sequences(spark):
     assert all(len(v) == 256 for v in ids.values())
     assert ids[1][:4] == [2, 3, 2, 0] and ids[2][:3] == [4, 3, 1] and ids[2][255] == 1
     assert ids[3] == [0] * 256 and ids[4][:3] == [3, 1, 0]
+    same = spark.createDataFrame([(1, "b"), (1, "a"), (None, None)], "id INT, t STRING")
+    got = ft.encode_sequences(same, vocab, text="t", length=2)
+    assert sorted((r["id"] or 0, r["ids"]) for r in got.collect()) == [(0, [0, 0]), (1, [2, 0]), (1, [3, 0])]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scalers_keep_constant_columns_at_zero(spark):

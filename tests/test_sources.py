@@ -22,6 +22,16 @@ def test_scan_review_files(spark, folder):
     assert got == [("a", 'good "food", fast', True), ("a", "two\nlines", False), ("b", "worst app", None)]
 
 
+def test_file_shapes(spark, folder):
+    files = rd.list_files(spark, str(folder))
+    shapes = {k: sorted(f.rpartition("/")[2] for f in v) for k, v in rd.file_shapes(spark, files).items()}
+    assert shapes == {
+        (("content", "is_english"), True): ["a.csv.csv"],
+        (("rating", "Review Text"), False): ["b.csv"],
+        (("rating", "stars"), False): ["c.csv"],
+    }
+
+
 def test_themes(spark, tmp_path):
     (tmp_path / "themes.csv").write_text("theme,subtheme\nB,two\nA,one\nB,three\n")
     themes = rd.scan_themes(spark, str(tmp_path / "themes.csv"))
