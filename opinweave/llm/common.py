@@ -25,6 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The rows of a union of exchanges in as many partitions as one exchange has."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Lets the session send texts to Python workers in batches of 4 MB instead of 64 MB.
 
@@ -39,12 +44,6 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ascii_lower(text: str | Column) -> Column:
-    """Lower-cases A-Z and leaves every other letter as it is."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

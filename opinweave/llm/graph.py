@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
@@ -12,16 +12,18 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
 
 
+def _pairs(*pairs: tuple[str, str]) -> Column:
+    return F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs]))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.union(links.select("b", "a"))
+    both = links.select(_pairs(("a", "b"), ("b", "a")))
     return both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b")))
+    return down.join(_least(down), "a").select(_pairs(("b", "least"), ("a", "least")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -39,5 +41,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before:
             break
         before = state
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    named = F.inline(
+        F.array(*[F.struct(F.col(c).alias("node"), F.col("b").alias("root")) for c in ("a", "b")])
+    )
+    return now.select(named).distinct()

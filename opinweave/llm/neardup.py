@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, cut, mix64, small_batches
+from .common import bounded_batches, cut, merged, mix64, small_batches
 from .graph import components
 from .shingling import Powers, minhash, shingles, word_hashes
 
@@ -118,7 +118,7 @@ def _regions(classes: DataFrame) -> DataFrame:
         ready = F.lit(True) if level == LEVELS[-1] else F.col("n") <= REGION
         done = done.union(open_.where(ready).select(F.col(level).alias("region"), "n", "node"))
         open_ = open_.where(~ready).drop("n")
-    return cut(done)
+    return cut(merged(done))
 
 
 def _candidates(regions: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -274,12 +274,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = cut(_candidates(regions, classes, percent))
 
     large = regions.where(F.col("n") > REGION).select("region", "node")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     sets = cut(_sets(docs, classes.select("node", "doc").join(ends, "node"), k))
     links = _confirmed(pairs, sets, percent)
     if not large.isEmpty():
         links = links.union(_family_links(large, sets, percent))
-    roots = components(cut(links))
+    roots = components(cut(merged(links)))
     named = roots.join(classes.select("node", "doc"), "node")
     first = named.groupBy("root").agg(F.min("doc").alias("first"))
     named = named.join(first, "root").select("node", "first")
