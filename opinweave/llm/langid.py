@@ -40,7 +40,7 @@ PART = 32
 CHAR_FLOOR = 1e-6
 PIECE_COUNT = 0.05
 ROUNDS = 3
-KEPT_WORDS = 100_000
+KEPT_WORDS = 200_000
 _RUN = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -76,14 +76,14 @@ class Pieces:
         while left.size:
             slot = self._slot(keys[left], len(self.tables))
             _, first = np.unique(slot, return_index=True)
-            ids, held = np.full(1 << 18, -1, np.int32), np.zeros(1 << 18, np.uint64)
+            ids, held = np.full(1 << 19, -1, np.int32), np.zeros(1 << 19, np.uint64)
             ids[slot[first]], held[slot[first]] = left[first], keys[left[first]]
             self.tables.append((ids, held))
             left = np.delete(left, first)
 
     @staticmethod
     def _slot(keys: np.ndarray, level: int) -> np.ndarray:
-        return (mix64(keys + np.uint64(level)) >> np.uint64(46)).astype(np.int64)
+        return (mix64(keys + np.uint64(level)) >> np.uint64(45)).astype(np.int64)
 
     @staticmethod
     def _codes(words: list[str]) -> np.ndarray:
@@ -99,18 +99,20 @@ class Pieces:
 
     def lattice(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """For words of one length: per start and end the piece of every word, ``n`` for none."""
-        prefix = self._prefixes(self._codes(words))
-        width, out = prefix.shape[1] - 1, {}
-        for end in range(1, width + 1):
-            for start in range(max(0, end - self.longest), end):
-                key = prefix[:, end] - prefix[:, start] * self.powers[end - start]
-                found = np.full(len(words), self.n, np.int32)
-                for level, (ids, held) in enumerate(self.tables):
-                    slot = self._slot(key, level)
-                    hit = (held[slot] == key) & (ids[slot] >= 0)
-                    found = np.where(hit, ids[slot], found)
-                if end - start == 1 or (found < self.n).any():
-                    out[start, end] = found
+        prefix = self._prefixes(self._codes(words)).T.copy()
+        width, out = len(prefix) - 1, {}
+        for size in range(1, min(self.longest, width) + 1):  # all starts of one length at once
+            key = prefix[size:] - prefix[:-size] * self.powers[size]
+            found = np.full(key.shape, self.n, np.int32)
+            for level, (ids, held) in enumerate(self.tables):
+                slot = self._slot(key, level)
+                at = ids[slot]
+                hit = (held[slot] == key) & (at >= 0)
+                found[hit] = at[hit]
+            some = (found < self.n).any(axis=1)
+            for start in range(len(found)):
+                if size == 1 or some[start]:
+                    out[start, start + size] = found[start]
         return out
 
 
@@ -264,7 +266,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text"):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores = model.predict(texts)
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
