@@ -32,6 +32,7 @@ from .evaluation import classification_metrics
 from .features import build_vocabulary, minmax_scaler, standard_scaler, with_sequences
 
 log = logging.getLogger(__name__)
+ROWS_PER_TASK = 20_000
 
 # ------------------------------------------------------------ embeddings
 
@@ -89,9 +90,13 @@ def _training_rows(rows: DataFrame) -> DataFrame:
     """Rows kept for the passes of an iterative fit, in tasks of a useful size.
 
     A learner runs one or more jobs per iteration. The rows are made by all tasks that their
-    source has, then dealt anew: the rebalance hint merges small partitions and splits large ones.
+    source has; only then are small partitions merged, so that an iteration has few tasks.
     """
-    return rows.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+    made = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    few = made.coalesce(max(1, math.ceil(made.count() / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    few.count()
+    made.unpersist()
+    return few
 
 
 def _fit_estimator(train: DataFrame, estimator, features: str, label: str) -> Fitted:
