@@ -22,20 +22,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import broadcast_if_small
 from ..operators.staged import computed
-from .common import ascii_lower, cut
+from .common import cut
 
 WINDOW = 10
 SHINGLE = 5
 #: Item rows that may be broadcast, of a few dozen bytes each.
 BROADCAST_ROWS = 1_000_000
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER = "".join(map(chr, range(65, 91)))
+#: ASCII characters that belong to no word.
+_OTHER = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words(text: str | Column) -> Column:
     """Lower-cased runs of digits, letters and non-ASCII characters; none for a null text."""
-    split = F.split(ascii_lower(text), _BETWEEN)
-    return F.coalesce(F.array_remove(split, ""), F.array().cast("array<string>"))
+    text = F.col(text) if isinstance(text, str) else text
+    spaced = F.translate(text, _UPPER + _OTHER, _UPPER.lower() + " " * len(_OTHER))
+    # one plain character to split at needs no regular expression
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 def _shingles(all_words: str, k: int) -> Column:
@@ -143,7 +146,7 @@ def contamination(
     by_doc = by_doc.select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), covered.alias("n_hit"), "items"
     )
-    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    n_words = F.size(words("text")).cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words.alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     none = F.array().cast("array<string>")
