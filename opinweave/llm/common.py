@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.workspace import ensure_checkpoint_dir
+from ..plans.workspace import ensure_checkpoint_dir, new_folder
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
@@ -25,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a compressed table below the checkpoint folder, and read again."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def merged(df: DataFrame) -> DataFrame:
     """The rows of a union of exchanges in as many partitions as one exchange has."""
     return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import attach
 from ..operators.staged import computed
-from .common import SPACE, cut
+from .common import SPACE, cut, written
 
 PERCENT = 80
-#: Hash buckets of the word counts: a table of 4 MB whatever the corpus.
-BUCKETS = 1 << 20
+#: Hash buckets of the word counts: a table of 2 MB whatever the corpus.
+BUCKETS = 1 << 18
 FIRST_ID = -(1 << 63)
 #: Documents with candidate lines, some dozen bytes each, that may be broadcast.
 BROADCAST_ROWS = 250_000
@@ -61,9 +61,9 @@ def rarity(texts: DataFrame) -> Column:
 
 
 def _classes(keyed: DataFrame, percent: int) -> DataFrame:
-    """``class, n, bits, first, prefix``: the distinct word sets, where they are first, rarest words.
+    """``class, n, bits, first, prefix``: distinct word sets, their places and rarest words.
 
-    ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
+    ``class`` is a hash of the set; ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
     """
     levels = rarity(keyed)
     lines = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
@@ -121,7 +121,7 @@ def _similar(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     words = F.array_distinct(_words(F.get(F.col("lines"), F.col("w.line"))))
     sets = found.select(F.col("w.class").alias("class"), F.struct("doc", "key", "w.line").alias("at"), words.alias("words"))
     # rows that repeat id and text say the same
-    sets = cut(sets.dropDuplicates(["class"]))
+    sets = written(sets.dropDuplicates(["class"]))
     x = sets.select(F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("words").alias("u"))
     y = sets.select(F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("words").alias("v"))
     both = pairs.join(x, "a").join(y, "b").withColumn("c", F.size(F.array_intersect("u", "v")))
@@ -132,7 +132,9 @@ def _similar(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc, key, line``: the places of the lines with words that stay."""
     keyed = _keyed(docs)
-    classes = cut(_classes(keyed, percent))
+    # short numbers for the classes: they are shuffled with every rare word
+    found = _classes(keyed, percent).drop("class")
+    classes = written(found.withColumn("class", F.monotonically_increasing_id()))
     pairs = cut(_candidates(classes, percent))
     similar = _similar(keyed, classes, pairs, percent)
     later = similar.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("class"))
