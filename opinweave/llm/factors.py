@@ -114,8 +114,9 @@ def smaller_neighbours(rank: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, n
 def removed(
     group: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray,
     data: np.ndarray, offsets: np.ndarray, span: int, gram: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Per sampled suffix the first and last window start, relative to its anchor, that recurs.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sampled suffix the first and last window start, relative to its anchor, that recurs,
+    and how many windows do.
 
     ``group`` is the anchor's hash, ``rank`` the order of the places; a suffix covers the window
     starts ``-left`` to ``-right`` (``left >= right >= 0``) and ``data`` its bytes. Suffixes are
@@ -131,7 +132,7 @@ def removed(
     lengths = np.diff(offsets)
     column = np.arange(len(data)) - np.repeat(offsets[:-1], lengths) + np.repeat(reach - left, lengths)
     table[np.repeat(np.arange(n), lengths), column] = data
-    first, last = np.full(n, 1, np.int64), np.full(n, 0, np.int64)
+    first, last, found = np.full(n, 1, np.int64), np.full(n, 0, np.int64), np.zeros(n, np.int64)
     after = np.ascontiguousarray(table[:, reach:]).view(f"S{span}").ravel()
     _, group = np.unique(group, return_inverse=True)
     order = np.lexsort([after, group])
@@ -161,4 +162,5 @@ def removed(
         none = first[dup] > last[dup]
         last[dup[none]] = -o
         first[dup] = -o
-    return first, last
+        found[dup] += 1
+    return first, last, found

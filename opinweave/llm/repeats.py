@@ -139,8 +139,8 @@ def _suffixes(texts: DataFrame, n_buckets: int, span: int, gram: int) -> DataFra
                 data, ends = pieces(raw, first[i], last[i] + span)
                 rank = np.empty(len(i), np.int64)
                 rank[np.lexsort([own[i], key[i], doc[i]])] = np.arange(len(i))
-                lo, hi = removed(hashes[i], rank, left[i], right[i], data, ends, span, gram)
-                all_gone = (lo == -left[i]) & (hi == -right[i])
+                _, _, found = removed(hashes[i], rank, left[i], right[i], data, ends, span, gram)
+                all_gone = found == left[i] - right[i] + 1
                 done[i[all_gone]] = True
                 j = i[all_gone]
                 starts = np.stack([key[j], own[j] - left[j], own[j] - right[j] + span], axis=1)
@@ -179,7 +179,7 @@ def _resolved(span: int, gram: int):
         rank = np.empty(len(i), np.int64)
         rank[np.lexsort([place, key, doc])] = np.arange(len(i))
         data, ends = pieces(data, ends[:-1][i], ends[1:][i])
-        lo, hi = removed(hashes[i], rank, left, right, data, ends, span, gram)
+        lo, hi, _ = removed(hashes[i], rank, left, right, data, ends, span, gram)
         gone = lo <= hi
         return pd.DataFrame(
             {

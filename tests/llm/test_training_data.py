@@ -231,6 +231,31 @@ def test_repeated_bytes_of_odd_rows(spark):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_spliced_around_a_frequent_anchor(spark):
+    draw = np.random.default_rng(5)
+
+    def letters(n):
+        return draw.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+
+    many = letters(200_000)
+    at = int(np.argmin(factors._gram_hashes(np.frombuffer(many.encode(), np.uint8), 32)))
+    gram, rows, last = many[at : at + 32], [], []
+    for i in range(30):  # of C only the first and the last window are in A and B
+        left, right = letters(68), letters(68)
+        rows += [(i, left + gram + letters(90)), (100 + i, letters(90) + gram + right), (200 + i, left + gram + right)]
+        last += ["|", left[34:] + gram + right[:34], "|", letters(150)]
+    rows.append((1000, "".join(last) + letters(5 << 20)))  # over 4 MB: a batch of its own
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = {r["doc_id"]: r for r in repeats.repeat_report(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (found[1000]["n_removed"], found[1000]["n_spans"]) == (3000, 30)
+    assert all(found[200 + i]["n_removed"] == 168 and found[i]["n_removed"] == 0 for i in range(30))
+
+
 def test_factor_helpers():
     rank = np.array([3, 1, 2, 0, 5, 4, 4])
     run = np.array([0, 0, 0, 0, 1, 1, 2])
