@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_batches, cut, merged, mix64, small_batches
 from .graph import components
@@ -57,8 +57,13 @@ def _shingle_sets(batch: pa.RecordBatch, k: int, powers: Powers) -> list[np.ndar
     return shingles(*word_hashes(texts, powers), k)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Of a row with all its columns."""
+    return F.xxhash64(*docs.columns)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node, signature`` of every row; ``node`` stands for the set."""
+    """``doc_id, text_key, row_key, n_shingles, node, signature`` of every row; ``node`` stands for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -70,16 +75,18 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 [
                     batch.column(0),
                     batch.column(1),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_signed(_fingerprint(s)) if len(s) else None for s in sets], pa.int64()),
                     pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "text_key", "n_shingles", "node", "signature"],
+                ["doc_id", "text_key", "row_key", "n_shingles", "node", "signature"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    keys = F.xxhash64("text").alias("text_key"), _row_key(docs).alias("row_key")
+    rows = docs.select(F.col("doc_id").cast("long"), *keys, "text")
     return rows.mapInArrow(
-        run, "doc_id BIGINT, text_key BIGINT, n_shingles BIGINT, node BIGINT, signature BINARY"
+        run, "doc_id BIGINT, text_key BIGINT, row_key BIGINT, n_shingles BIGINT, node BIGINT, signature BINARY"
     )
 
 
@@ -259,10 +266,10 @@ def _family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node, component_id`` of every row of ``docs``.
+    """``doc_id, text_key, row_key, n_shingles, node, root, component_id`` of every row of ``docs``.
 
     Documents are linked if 100 times the common shingles reach ``percent`` times all of them;
-    ``component_id`` is the least id that links lead to.
+    ``component_id`` is the least id that links lead to, ``root`` the least node.
     """
     bounded_batches(docs)
     light = cut(signatures(docs, k))
@@ -282,28 +289,37 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     roots = components(cut(merged(links)))
     named = roots.join(classes.select("node", "doc"), "node")
     first = named.groupBy("root").agg(F.min("doc").alias("first"))
-    named = named.join(first, "root").select("node", "first")
+    named = named.join(first, "root").select("node", "root", "first")
     of_class = classes.select("node", "doc").join(named, "node", "left")
-    of_class = of_class.select("node", F.coalesce("first", "doc").alias("component"))
+    of_class = of_class.select(
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("first", "doc").alias("component")
+    )
     out = light.drop("signature").join(of_class, "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "text_key", "n_shingles", "node", alone.alias("component_id"))
+    return out.select("doc_id", "text_key", "row_key", "n_shingles", "node", "root", alone.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each group one row with the least id.
 
     Where rows repeat that id, or a group has null ids only, one of them stays, chosen by a hash
-    of the row. Documents without shingles all stay.
+    of the row; of rows that are equal in all columns any. Documents without shingles all stay.
     """
     found = groups(docs, k, percent)
-    lone = found.where("node is null").select("doc_id", "text_key").distinct()
-    first = found.where("node is not null and doc_id <=> component_id")
-    first = first.groupBy("component_id").agg(F.min("text_key").alias("text_key"))
-    first = first.select(F.col("component_id").alias("doc_id"), "text_key")
-    stay = lone.union(first).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
-    return docs.join(stay, same, "left_semi")
+    lone = found.where("node is null").select("doc_id", "row_key").distinct()
+    least = found.where("node is not null and doc_id <=> component_id")
+    least = least.groupBy("root", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    first = least.groupBy("root").agg(F.min("row_key").alias("row_key"))
+    first = cut(least.join(first, ["root", "row_key"]).select("doc_id", "row_key", "n"))
+
+    def taken(stay: DataFrame) -> DataFrame:
+        stay = stay.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"))
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (_row_key(docs) == F.col("_key"))
+        return docs.join(stay, same, "left_semi")
+
+    once = taken(lone.union(first.where("n = 1").select("doc_id", "row_key")))
+    repeated = first.where("n > 1")
+    return once if repeated.isEmpty() else once.union(taken(repeated).dropDuplicates())
 
 
 def group_report(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:

@@ -186,6 +186,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.groups(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [doc(None, a), doc(None, b), doc(None, b + " end"), doc(6, c), doc(6, c), doc(7, c)]
+    rows += [doc(None, None), doc(None, None), doc(8, "")]
+    kept = sorted(neardup.one_of_each(frame(spark, rows), 3, 85).collect(), key=str)
+    texts = [(r["doc_id"], r["text"]) for r in kept]
+    assert len(kept) == 6 and texts.count((None, a)) == texts.count((6, c)) == texts.count((8, "")) == 1
+    assert texts.count((None, b)) + texts.count((None, b + " end")) == 1 and texts.count((None, None)) == 2
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     found = graph.components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()
