@@ -10,6 +10,10 @@ likelihood, whose gradient is observed minus expected features, both from the sa
 An element's own text counts if its marginal is above one half; text inside an inline element
 belongs to the block around it. Blocks are joined in page order by one space.
 
+Scripts, styles, graphics, form choices and the like are no text of the page. One that is never
+closed ends with the element around it, an option at the next one or the next block; a script or
+style, as in HTML, at its own end tag only. Formulas are text of the block around them.
+
 Cases: a null or empty page gives an empty text; unclosed elements end with their parents or
 where HTML ends them; pages without any tag are one block of text; very deep pages cost a level
 of messages per depth.
@@ -33,11 +37,14 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 SILENT = frozenset(
-    "script style noscript template iframe object svg canvas select option textarea math title".split()
+    "script style noscript template iframe object svg canvas select textarea title".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp"
-    " small span strike strong sub sup time tt u var wbr".split()
+    " small span strike strong sub sup time tt u var wbr"
+    " math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom"
+    " mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover"
+    " none semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5"
@@ -51,7 +58,6 @@ SAME_LEVEL = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
 }
 
 TAGS = [
@@ -85,7 +91,8 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.hint, self.mark = ["html"], [-1], [()], [None]
         self.open = [0]
-        self.silent = 0
+        self.silent: list[str] = []  # an open silent element and the open ones in it
+        self.option = 0  # open elements when an option outside a select began
         self.runs: list[tuple[int, int, str]] = []  # block, element, text; element -1: a break
         self.feed(html)
         self.close()
@@ -96,20 +103,34 @@ class Page(HTMLParser):
             if tag in until:
                 return
             if tag in names:
-                del self.open[k:]
+                self._shut(k)
                 self._break()
                 return
 
+    def _shut(self, k: int) -> None:
+        del self.open[k:]
+        if k < self.option:
+            self.option = 0
+
     def _break(self) -> None:
         self.runs.append((self.open[-1], -1, ""))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.silent:
-            self.silent += tag not in VOID and tag == self.silent_tag
+            if tag == "select" and self.silent[0] == tag:
+                self.silent = []  # a select never holds another
+            elif tag not in VOID:
+                self.silent.append(tag)
             return
         if tag in SILENT:
-            self.silent, self.silent_tag = 1, tag
+            self.silent = [tag]
             return
+        if tag == "option":
+            self._break()
+            self.option = len(self.open)
+            return
+        if tag in CLOSES_P or tag in SAME_LEVEL:
+            self.option = 0
         if tag in CLOSES_P:
             self._end_open({"p"}, frozenset(("button", "td", "th", "li", "div", "article", "section", "blockquote")))
         if tag in SAME_LEVEL:
@@ -136,19 +157,31 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            self.silent -= tag == self.silent_tag
-            return
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+                return
+            if not self._opened(tag):
+                return
+            self.silent = []  # never closed: it ends with the element around it
+        if tag == "option":
+            self.option = 0
         if tag not in INLINE:
             self._break()
+        k = self._opened(tag)
+        if k:
+            self._shut(k)
+
+    def _opened(self, tag: str) -> int:
+        """Where the open element is that an end tag ends, 0 for none."""
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == tag:
-                del self.open[k:]
-                break
+                return k
             if tag in INLINE and self.tag[self.open[k]] not in INLINE:
                 break  # an inline end never ends a block
+        return 0
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
+        if self.silent or self.option:
             return
         at = self.open[-1]
         block = at

@@ -301,6 +301,23 @@ def test_extraction_of_other_layouts():
     assert len(found) == 4
 
 
+def test_unclosed_silent_elements_end_and_formulas_stay():
+    def seen(html):
+        page = html_extract.Page(html)
+        return page.text(np.ones(len(page.tag), bool))
+
+    choices = "<datalist><option value=a><option value=b>B</datalist>"
+    assert seen(f"<div>{choices}<article><p>one</p></article></div>two") == "one two"
+    assert seen("<div><option>A<option>B<p>one</p>two</div>") == "one two"
+    assert seen("<div><option>A</div><p>one</p>") == "one"
+    assert seen("<div><select><optgroup><option>A<option>B</optgroup></select>one</div>") == "one"
+    assert seen("<div><select><option>A<select>one</div>") == "one"
+    for tag in ("svg", "canvas", "object", "noscript", "template", "select"):
+        assert seen(f"<main><div><{tag}><b>no</b></div><p>one</p></main>") == "one"
+        assert seen(f"<div><{tag}><{tag}2>no</{tag}2></p></span>no</{tag}>one</div>") == "one"
+    assert seen("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == "if x=1 then"
+
+
 def test_messages_give_exact_marginals():
     page = html_extract.Page("<div><p>one two</p><ul><li>three<li>four</ul></div><p>five</p>")
     forest = html_extract.Forest([page])
