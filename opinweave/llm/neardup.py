@@ -12,8 +12,12 @@ goes one value deeper, as far as `DEEPEST`, so depth adapts to how dense a regio
   family, whose classes are compared exactly, block against block, as a matrix product: no pair
   is emitted but a spanning forest of the links that each two blocks have.
 
+* Classes of a region that goes deeper may part there, so they get `MORE` trees besides, of
+  `DEEPEST` values, whose regions are treated as all others.
+
 Links are confirmed on the full sets, and the groups are the components of the links. A pair at
-the threshold meets in no tree with a chance of about ``(1 - t**3)**20`` (4e-9 at 0.85).
+the threshold meets in no tree with a chance of at most ``(1 - t**3)**20 + (1 - t**6)**48`` (1.0e-6
+at 0.8, 5.5e-9 at 0.85), the first term where its regions are small, the second where they are large.
 
 Cases: a null or blank text has no shingles and is a group of its own; fewer words than a
 shingle make one shingle; rows with a null id join groups and take their id, alone they have a
@@ -24,7 +28,7 @@ table gives an empty result. Shingles are compared as 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,11 @@ WIDTH = TREES * DEEPEST
 REGION = 32
 BLOCK = 256
 MULTIPLIERS = (mix64(np.arange(WIDTH, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: So many that all trees at the deepest level miss no more than `TREES` at the shallowest.
+MORE = 28
+MORE_MULTIPLIERS = (
+    mix64(np.arange(MORE * DEEPEST, dtype=np.uint64) + np.uint64(1_000_003)) >> np.uint64(32)
+).astype(np.uint32) | np.uint32(1)
 LEVELS = [f"h{d}" for d in range(SHALLOWEST, DEEPEST + 1)]
 
 
@@ -90,6 +99,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _prefixes(values: np.ndarray, first: int) -> Iterator[np.ndarray]:
+    """For runs of values (classes x trees x depth) the hashes of their prefixes, depth by depth."""
+    n, trees, depth = values.shape
+    h = np.broadcast_to(mix64(np.arange(first, first + trees, dtype=np.uint64)), (n, trees))
+    for d in range(depth):
+        h = mix64(h * np.uint64(3) + values[:, :, d].astype(np.uint64))
+        yield h
+
+
 def _tree_rows(classes: DataFrame) -> DataFrame:
     """``node, h3..h6``: for every tree the hashes of the signature's prefixes."""
 
@@ -99,26 +117,46 @@ def _tree_rows(classes: DataFrame) -> DataFrame:
             if not n:
                 continue
             raw = b"".join(batch.column(1).to_pylist())
-            values = np.frombuffer(raw, np.uint16).reshape(n, TREES, DEEPEST).astype(np.uint64)
-            h = np.broadcast_to(mix64(np.arange(1, TREES + 1, dtype=np.uint64)), (n, TREES))
+            values = np.frombuffer(raw, np.uint16).reshape(n, TREES, DEEPEST)
             columns = [np.repeat(batch.column(0).to_numpy(), TREES)]
-            for d in range(DEEPEST):
-                h = mix64(h * np.uint64(3) + values[:, :, d])
-                if d + 1 >= SHALLOWEST:
-                    columns.append(h.ravel().view(np.int64))
+            columns += [h.ravel().view(np.int64) for h in list(_prefixes(values, 1))[SHALLOWEST - 1 :]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", *LEVELS])
 
     kinds = ", ".join(f"{c} BIGINT" for c in ["node", *LEVELS])
     return classes.select("node", "signature").mapInArrow(run, kinds)
 
 
-def _regions(classes: DataFrame) -> DataFrame:
+def _more_prefixes(sets: list[np.ndarray]) -> list[bytes]:
+    """Per set the hashes of its `MORE` trees at the deepest level."""
+    values = minhash(sets, MORE_MULTIPLIERS).reshape(len(sets), MORE, DEEPEST)
+    *_, h = _prefixes(values, TREES + 1)
+    return [row.tobytes() for row in h]
+
+
+def _more_regions(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``region, n, node`` of some classes in further trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            node = np.repeat(batch.column(0).to_numpy(), MORE)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node)], ["region", "node"])
+
+    rows = cut(_sets(docs, nodes, k, _more_prefixes).mapInArrow(run, "region BIGINT, node BIGINT"))
+    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(shared, "region").select("region", "n", "node")
+
+
+def _regions(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """``region, n, node``: the region of every class in every tree where it has company."""
     rows = _tree_rows(classes)
     shared = rows.groupBy("h3").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = cut(rows.join(shared, "h3"))
     done = open_.where(F.col("n") <= REGION).select(F.col("h3").alias("region"), "n", "node")
     open_ = open_.where(F.col("n") > REGION).drop("n")
+    if not open_.isEmpty():
+        crowded = classes.select("node", "doc").join(open_.select("node").distinct(), "node")
+        done = done.union(_more_regions(docs, crowded, k))
     for level in LEVELS[1:]:
         sizes = open_.groupBy(level).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         open_ = open_.join(sizes, level)
@@ -163,8 +201,14 @@ def _candidates(regions: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return found.distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``node, words``: the full sets of some classes, read again from one text of each."""
+def _whole(sets: list[np.ndarray]) -> list[bytes]:
+    return [s.tobytes() for s in sets]
+
+
+def _sets(
+    docs: DataFrame, nodes: DataFrame, k: int, form: Callable[[list[np.ndarray]], list[bytes]] = _whole
+) -> DataFrame:
+    """``node, words``: the full sets of some classes, or another form of them, read again from one text of each."""
     texts = docs.select("doc_id", "text").join(
         nodes.select(F.col("doc").alias("_doc")).distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi"
     )
@@ -174,7 +218,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         for batch in small_batches(batches, "text", 1 << 20):
             sets = [s for s in _shingle_sets(batch, k, powers) if len(s)]
             ids = pa.array([_signed(_fingerprint(s)) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "words"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(form(sets), pa.binary())], ["node", "words"])
 
     rows = texts.mapInArrow(run, "node BIGINT, words BINARY")
     return rows.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -277,7 +321,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.min("doc_id").alias("doc"), F.first("signature").alias("signature")
     )
     classes = cut(classes)
-    regions = _regions(classes)
+    regions = _regions(classes, docs, k)
     pairs = cut(_candidates(regions, classes, percent))
 
     large = regions.where(F.col("n") > REGION).select("region", "node")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from opinweave.llm import (
     chat, decontam, factors, graph, html_extract, langid, linedup, mixing, neardup, quality, repeats, sharding,
+    shingling,
 )
 
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -171,6 +172,22 @@ def test_large_regions_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in neardup.group_report(docs).collect()) == brute_groups(rows, 3, 85)
 
 
+def test_pairs_that_part_in_large_regions_are_linked(spark, monkeypatch):
+    draw, rows = random.Random(3), []
+    powers = shingling.Powers()
+    while len(rows) < 8:  # near the threshold, and alike at the deepest level in no tree
+        w = [f"w{draw.randrange(10**9)}" for _ in range(102)]
+        pair = [" ".join(w), " ".join([*w[:90], *(f"v{draw.randrange(10**9)}" for _ in range(8))])]
+        sets = shingling.shingles(*shingling.word_hashes(pa.array(pair), powers), 3)
+        x, y = shingling.minhash(sets, neardup.MULTIPLIERS).reshape(2, neardup.TREES, neardup.DEEPEST)
+        if (x[:, :3] == y[:, :3]).all(1).any() and not (x == y).all(1).any():
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    monkeypatch.setattr(neardup, "REGION", 1)
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.group_report(docs, 3, 80).collect()}
+    assert found == {i: i - i % 2 for i in range(8)}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = frame(spark, odd(extra=(1,)), ", node INT")
     rows = neardup.groups(docs, 3, 85).collect()
