@@ -32,6 +32,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def tokenizer_folder(spark: SparkSession) -> str:
+    """Where every machine of the cluster has the public vocabularies."""
+    return spark.conf.get("spark.opinweave.tokenizers", "/opt/tokenizers")
+
+
 def merged(df: DataFrame) -> DataFrame:
     """The rows of a union of exchanges in as many partitions as one exchange has."""
     return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

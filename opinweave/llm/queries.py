@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_extract, langid, linedup, mixing, neardup, quality, repeats, sharding
+from . import (
+    alignment, chat, decontam, html_extract, langid, linedup, merkle, mixing, neardup, quality, repeats, search,
+    sharding,
+)
 from .common import table
 from .sql import ORACLE
 
@@ -60,6 +63,18 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
@@ -71,6 +86,9 @@ QUERIES = {
     "op8_repeated_lines": op8_repeated_lines,
     "op9_format_chats": op9_format_chats,
     "op10_shard": op10_shard,
+    "op11_search": op11_search,
+    "op12_align_tokens": op12_align_tokens,
+    "op13_manifest": op13_manifest,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -140,9 +140,75 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
 FROM documents LEFT JOIN totals USING (doc_id) LEFT JOIN stay USING (doc_id)
 """
 
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+# A field is its length in bytes, a colon and its value. The checksum goes bit by bit.
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+OP13 = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce(':' || lang, '-') AS tree, {_LEAF.format(n="n_chars")} AS leaf,
+         {_LEAF.format(n="(n_chars + 1)")} AS forged,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda r, c: list_reduce(list_prepend(xor(r, c), [CAST(i AS BIGINT) for i in range(8)]),
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT)) AS crc
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), lower AS (
+  SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2
+  FROM lower WHERE n > 1 GROUP BY tree, level, i // 2, n
+), subroots AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM lower WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, place AS i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2
+  FROM upper WHERE n > 1 GROUP BY level, i // 2, n
+), steps AS (
+  SELECT p.doc_id, p.tree, p.i, 0 AS part, l.level, (p.i >> l.level) & 1 AS side, s.h
+  FROM placed p JOIN (SELECT DISTINCT tree, level FROM lower WHERE n > 1) l USING (tree)
+  LEFT JOIN lower s ON s.tree = p.tree AND s.level = l.level AND s.i = xor(p.i >> l.level, 1)
+  UNION ALL
+  SELECT p.doc_id, p.tree, p.i, 1, l.level, (r.place >> l.level) & 1, s.h
+  FROM placed p JOIN subroots r USING (tree) CROSS JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) l
+  LEFT JOIN upper s ON s.level = l.level AND s.i = xor(r.place >> l.level, 1)
+), proofs AS (
+  SELECT tree, i, list({{'side': side, 'h': h}} ORDER BY part, level) AS proof FROM steps GROUP BY tree, i
+), folds AS (
+  SELECT p.tree, p.i, 0 AS step, CASE WHEN crc % 7 = 0 AND forged IS NOT NULL THEN forged ELSE leaf END AS h,
+         coalesce(proof, []) AS proof
+  FROM placed p LEFT JOIN proofs f ON f.tree = p.tree AND f.i = p.i
+  UNION ALL
+  SELECT tree, i, step + 1, sha256(CASE WHEN proof[step + 1].side = 1 THEN coalesce(proof[step + 1].h, '') || h
+                                        ELSE h || coalesce(proof[step + 1].h, '') END), proof
+  FROM folds WHERE step < len(proof)
+)
+SELECT p.doc_id, p.leaf, r.subroot, u.h AS root,
+       sha256(coalesce(array_to_string(list_transform(f.proof, lambda x: x.h), ''), '')) AS proof_sha256,
+       f.h AS folded_root, f.h = u.h AS verified
+FROM placed p JOIN subroots r USING (tree) JOIN (SELECT h FROM upper WHERE n = 1) u ON true
+JOIN folds f ON f.tree = p.tree AND f.i = p.i AND f.step = len(f.proof)
+"""
+
 ORACLE = {
     "op1_decontaminate": OP1,
     "op2_near_duplicates": OP2,
     "op7_mix_sources": OP7,
     "op8_repeated_lines": OP8,
+    "op11_search": OP11,
+    "op13_manifest": OP13,
 }
