@@ -425,4 +425,57 @@ BODY = {
     "incremental_scoring": "SELECT thsn.id, theme, subtheme, sentiment, round(toxicity_score, 6) AS toxicity_score FROM thsn JOIN tx ON tx.id = thsn.id",
 }
 
+# A tree of two levels: each step counts the classes on both sides of every cut of every node.
+_NODE_CUTS = (
+    "SELECT node, j, v, t0, t1, t2, l0, l1, l2, t0 - l0 AS r0, t1 - l1 AS r1, t2 - l2 AS r2 FROM (SELECT node, j, v, "
+    + ", ".join(f"CAST(sum(c{k}) OVER w AS DOUBLE) AS l{k}, CAST(sum(c{k}) OVER (PARTITION BY node, j) AS DOUBLE) AS t{k}" for k in range(3))
+    + " FROM (SELECT node, j, f[j] AS v, "
+    + ", ".join(f"count(*) FILTER (WHERE y = {k}) AS c{k}" for k in range(3))
+    + " FROM {0} CROSS JOIN (VALUES (1), (2), (3)) u(j) GROUP BY ALL) WINDOW w AS (PARTITION BY node, j ORDER BY v))"
+)
+_SIDE = "({0}0 + {0}1 + {0}2)"
+_NODE_GAIN = " + ".join(f"l{k} * l{k} / {_SIDE.format('l')} + r{k} * r{k} / {_SIDE.format('r')}" for k in range(3))
+_NODE_WHOLE = f"(t0 * t0 + t1 * t1 + t2 * t2) / {_SIDE.format('t')}"
+_NODE_BEST = (
+    f"SELECT node, j, v FROM (SELECT *, {_NODE_GAIN} AS gain, {_NODE_WHOLE} AS whole FROM ({_NODE_CUTS}) "
+    f"WHERE {_SIDE.format('l')} >= 2 AND {_SIDE.format('r')} >= 2 AND {_SIDE.format('t')} >= 5) "
+    "QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, v) = 1 AND gain - whole > 1e-9::DOUBLE * (1 + whole)"
+)
+_NODE_STEP = (
+    "SELECT n.id, n.y, n.f, CASE WHEN b.j IS NULL THEN n.node WHEN n.f[b.j] <= b.v THEN 2 * n.node ELSE 2 * n.node + 1 END AS node "
+    "FROM {0} n LEFT JOIN ({1}) b ON b.node = n.node"
+)
+BODY["shallow_tree"] = (
+    "WITH n0 AS (SELECT id, y, f, 1 AS node FROM (SELECT l.doc_id AS id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS y, "
+    "[coalesce(list_position(['de', 'en', 'es', 'fr'], lang), 0), coalesce(floor(log2(n_chars + 1)), 0), l.doc_id % 7] AS f "
+    "FROM labels l JOIN documents d ON d.doc_id = l.doc_id)), "
+    f"n1 AS ({_NODE_STEP.format('n0', _NODE_BEST.format('n0'))}), n2 AS ({_NODE_STEP.format('n1', _NODE_BEST.format('n1'))}), "
+    "said AS (SELECT node, y AS yhat FROM n2 GROUP BY node, y QUALIFY row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, y) = 1) "
+    "SELECT id, y, yhat FROM n2 JOIN said ON said.node = n2.node"
+)
+
+# Letters of the cleaned text as counts; class and letter frequencies with one added to each.
+_LETTERS = "abcdefghijklmnop"
+_letter_rows = (
+    "SELECT m.id, m.split, lr.y, "
+    + ", ".join(f"length(lr.cleaned_text) - length(replace(lr.cleaned_text, '{a}', '')) AS c{i}" for i, a in enumerate(_LETTERS))
+    + " FROM marked_y m JOIN lr ON lr.id = m.id"
+)
+BODY["naive_bayes_letters"] = (
+    f"SELECT * FROM (WITH lettered AS ({_letter_rows}), long AS (SELECT id, split, y, j, CAST([{', '.join(f'c{i}' for i in range(len(_LETTERS)))}][j + 1] AS DOUBLE) AS n "
+    f"FROM lettered CROSS JOIN range({len(_LETTERS)}) u(j)), "
+    "weight AS (SELECT y AS k, j, ln(sum(n) + 1) - ln(sum(sum(n)) OVER (PARTITION BY y) + " + str(len(_LETTERS)) + ") AS w FROM long WHERE split = 'train' GROUP BY y, j), "
+    "prior AS (SELECT y AS k, ln(count(*) + 1) - ln(sum(count(*)) OVER () + count(*) OVER ()) AS p FROM lettered WHERE split = 'train' GROUP BY y), "
+    "scored AS (SELECT id, l.y, w.k, any_value(p) + sum(n * w) AS s FROM long l JOIN weight w ON w.j = l.j JOIN prior ON prior.k = w.k WHERE split = 'test' GROUP BY id, l.y, w.k) "
+    "SELECT id, y, k AS yhat FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, k) = 1)"
+)
+_words_of = n_words("cleaned_text")
+BODY["score_failing_batches"] = (
+    f"SELECT id, CASE WHEN w % 7 IN (3, 5) THEN -1 ELSE w % 2 END AS class_idx, "
+    f"CASE WHEN w % 7 IN (3, 5) THEN -1 WHEN w % 2 = 0 THEN 0 ELSE 2 END AS sentiment, CASE WHEN w % 5 = 2 THEN CAST(0 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / (1 + w), 6) END AS toxicity_score "
+    f"FROM (SELECT id, {_words_of} AS w FROM c)"
+)
+BODY["filter_english_shipped"] = BODY["filter_english"]
+BODY["write_utf8_sig"] = "SELECT id, app, cleaned_text, true AS marked FROM c"
+
 ORACLE = {name: with_ctes(sql) for name, sql in BODY.items()}

@@ -146,6 +146,17 @@ def write_negative_by_app(s, sf):
     return s.read.schema("id BIGINT, content STRING, app STRING").parquet(path)
 
 
+@query
+def write_utf8_sig(s, sf):
+    """Written with a byte-order mark on every file, and read back with whether all files have it."""
+    folder = new_folder(s, "marked")
+    wr.write_utf8_sig(x.cleaned(s, sf).select("id", "app", "cleaned_text"), folder)
+    files = s.read.format("binaryFile").load(folder)
+    marked = files.agg(F.min(F.hex(F.substring("content", 1, 3)) == "EFBBBF")).first()[0]
+    rows = s.read.options(**rd.CSV, multiLine="true", nullValue="\0").schema("id BIGINT, app STRING, cleaned_text STRING").csv(folder)
+    return rows.withColumn("marked", F.lit(marked))
+
+
 @query
 def write_filtered(s, sf):
     path = new_folder(s, "english")
@@ -272,6 +283,12 @@ def filter_english(s, sf):
 @query
 def filter_english_joined(s, sf):
     """The same filter for a vocabulary that is too large for the plan."""
+    return fl.filter_english(x.reviews(s, sf), x.vocabulary(s, sf), inline_words=0, shipped_words=0).select("id")
+
+
+@query
+def filter_english_shipped(s, sf):
+    """The same rows, the vocabulary in a vectorised function."""
     return fl.filter_english(x.reviews(s, sf), x.vocabulary(s, sf), inline_words=0).select("id")
 
 
@@ -386,6 +403,32 @@ def score_toxicity(s, sf):
     return _r(scored.select("id", "toxicity_score", "toxicity_category"), "toxicity_score")
 
 
+def _moody(every: int, bad: int, silent: int, answer):
+    """A model by the number of words: it raises where ``bad`` are over a multiple, and leaves out ``silent``."""
+
+    def load():
+        def predict(texts):
+            words = [len(t.split()) for t in texts]
+            if any(n % every == bad for n in words):
+                raise ValueError("a text that the model cannot take")
+            return [answer(n) for n in words if n % every != silent]
+
+        return predict
+
+    return load
+
+
+@query
+def score_failing_batches(s, sf):
+    """Models that fail on some batches: only their texts get the value that stands for a failure."""
+    classes = lab.batch_scorer(_moody(7, 3, 5, lambda n: n % 2), "class_idx", -1, "int", batch_size=1)
+    toxic = lab.batch_scorer(_moody(5, 2, -1, lambda n: 1 / (1 + n)), "toxicity_score", 0.0, batch_size=1)
+    scored = classes(x.cleaned(s, sf), "cleaned_text")
+    scored = scored.withColumn("sentiment", F.coalesce(fn.label_remap("class_idx", lex.TWO_CLASSES), F.lit(-1)))
+    scored = lab.with_toxicity(scored, toxic)
+    return _r(scored.select("id", "class_idx", "sentiment", "toxicity_score"), "toxicity_score")
+
+
 @query
 def score_toxicity_keywords(s, sf):
     return _r(x.toxicity(s, sf).select("id", "toxicity_score", "toxicity_category"), "toxicity_score")
@@ -702,6 +745,17 @@ def train_decision_tree(s, sf):
     return _learn(s, sf, "Decision Tree")
 
 
+@query
+def shallow_tree(s, sf):
+    """A tree of two levels on three whole-number features, applied to the rows that it learned from."""
+    docs = x.table(s, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    lang = F.array_position(F.lit(["de", "en", "es", "fr"]), F.col("lang"))
+    size = F.floor(F.log2(F.col("n_chars") + 1))
+    parts = [F.coalesce(c, F.lit(0)).cast("double") for c in (lang, size, F.col("id") % 7)]
+    rows = docs.join(x.marks(s, sf), "id").select("id", "y", F.array(*parts).alias("features"))
+    return ln.train_decision_tree(rows, depth=2).predict(rows).select("id", "y", "yhat")
+
+
 @query
 def train_logistic(s, sf):
     return _learn(s, sf, "Logistic Regression")
@@ -712,6 +766,15 @@ def train_naive_bayes(s, sf):
     return _learn(s, sf, "Naive Bayes")
 
 
+@query
+def naive_bayes_letters(s, sf):
+    """The same learner on counts of letters, which SQL can count as well."""
+    rows = x.labelled_reviews(s, sf).select("id", "y", "cleaned_text")
+    counts = F.array(*(F.length("cleaned_text") - F.length(F.replace("cleaned_text", F.lit(a), F.lit(""))) for a in "abcdefghijklmnop"))
+    train, test = reports.split_rows(rows.select("id", "y", counts.cast("array<double>").alias("features")))
+    return ln.train_naive_bayes(train).predict(test).select("id", "y", "yhat")
+
+
 @query
 def train_svm(s, sf):
     return _learn(s, sf, "SVM")
@@ -719,12 +782,12 @@ def train_svm(s, sf):
 
 @query
 def train_gradient_boosting(s, sf):
-    return _learn(s, sf, "Gradient Boosting", rounds=10, depth=5)
+    return _learn(s, sf, "Gradient Boosting")
 
 
 @query
 def train_adaboost(s, sf):
-    return _learn(s, sf, "AdaBoost", rounds=15)
+    return _learn(s, sf, "AdaBoost")
 
 
 @query
@@ -773,12 +836,11 @@ def train_on_tfidf(s, sf):
 @query
 def model_grid(s, sf):
     train, test = reports.split_rows(x.labelled_reviews(s, sf).select("id", "y", "cleaned_text"))
-    chosen = {n: ln.LEARNERS[n] for n in ("Decision Tree", "Logistic Regression", "Naive Bayes")}
     embedders = {
         "hashing": ln.hashing_embedder(64),
-        "word vectors": ln.word2vec_embedder(train, "cleaned_text", 32),
+        "word vectors": ln.word2vec_embedder(train, "cleaned_text"),
     }
-    return _r(ln.model_grid(train, test, embedders, chosen), *ev.METRICS)
+    return _r(ln.model_grid(train, test, embedders), *ev.METRICS)
 
 
 @query

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -283,20 +285,22 @@ def with_sequences(
     """Adds the first ``length`` tokens as ids, 1 for unknown words, padded with 0.
 
     The vocabulary has at most ``max_words`` entries by its definition, so it travels with the
-    function that looks words up; no row is shuffled, and ids may repeat or be missing.
+    function that looks up all words of a batch at once; no row is shuffled, and ids may repeat or
+    be missing.
     """
-    rows = vocabulary.select("word", "idx").limit(max_words + 1).collect()
-    if len(rows) > max_words:
+    rows = vocabulary.select("word", "idx").limit(max_words + 1).toArrow()
+    if rows.num_rows > max_words:
         raise ValueError(f"the vocabulary has more than {max_words} words")
-    index = {r["word"]: r["idx"] for r in rows}
-
-    @F.pandas_udf("array<int>")
-    def encoded(tokens: pd.Series) -> pd.Series:
-        def one(words) -> list[int]:
-            ids = [] if words is None else [index.get(w, 1) for w in words]
-            return ids + [0] * (length - len(ids))
-
-        return tokens.map(one, na_action=None)
+    words, numbers = rows["word"].combine_chunks(), np.append(rows["idx"].to_numpy(), 1).astype(np.int32)
+
+    @F.arrow_udf("array<int>")
+    def encoded(tokens: pa.Array) -> pa.Array:
+        said = tokens.flatten()
+        place = pc.fill_null(pc.index_in(said, value_set=words.cast(said.type)), len(words))
+        counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        ids = np.zeros((len(tokens), length), np.int32)
+        ids[np.arange(length) < counts[:, None]] = numbers[place.to_numpy(zero_copy_only=False)]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * length), pa.array(ids.ravel()))
 
     return df.withColumn(out, encoded(F.slice(space_tokens(text), 1, length)))
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.labels import sql_text
 from ..functions.lexicons import NA_TOKENS
-from .skew import BROADCAST_ROWS, attach, bounded_rows
+from .skew import BROADCAST_ROWS, attach
 from .staged import computed
 
 INLINE_WORDS = 20_000
+#: Words of a vocabulary, some 10 bytes each, that travel with a function.
+SHIPPED_WORDS = 2_000_000
 
 
 def drop_missing_text(df: DataFrame, text: str = "content") -> DataFrame:
@@ -42,33 +47,59 @@ def english_share(df: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
     return joined.groupBy("_k1", "_k2").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("share"))
 
 
+def shipped_share(words: pa.Array) -> Callable[[Column], Column]:
+    """Share of a list's strings that are in ``words``, NULL for an empty or missing list.
+
+    All tokens of a batch are looked up at once in a hash table of the words.
+    """
+
+    @F.arrow_udf("double")
+    def share(tokens: pa.Array) -> pa.Array:
+        said = tokens.flatten()
+        known = pc.is_in(said, value_set=words.cast(said.type)).to_numpy(zero_copy_only=False)
+        upto = np.append(0, np.cumsum(known))
+        counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(counts)
+        hits = upto[ends] - upto[ends - counts]
+        return pa.array(hits / np.maximum(counts, 1), mask=counts == 0)
+
+    return share
+
+
 def filter_english(
     df: DataFrame,
     vocab: DataFrame,
     text: str = "content",
     min_share: float = 0.8,
     inline_words: int = INLINE_WORDS,
+    shipped_words: int = SHIPPED_WORDS,
 ) -> DataFrame:
     """Rows without Bengali script whose share of vocabulary words is at least ``min_share``.
 
-    A vocabulary of at most ``inline_words`` words becomes a hash set inside the filter, so
-    no row is shuffled. A larger one is joined to the exploded tokens, and the texts that
-    pass are joined back. Both ways keep the same rows; NULL words do not count.
+    A vocabulary of at most ``inline_words`` words becomes a hash set inside the filter, one of at
+    most ``shipped_words`` travels with a vectorised function; no row is shuffled. A larger one is
+    joined to the exploded tokens, and the texts that pass are joined back. All ways keep the same
+    rows; NULL words do not count.
     """
     known = vocab.select(F.lower("word").alias("word")).where("word is not null").distinct()
     known = known.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = bounded_rows(known, inline_words)
-    if rows is not None:
-        known.unpersist()
-        words = ", ".join(sql_text(r["word"]) for r in rows) or "NULL"
-        tokens = F.when(F.col(text).isNotNull() & ~tx.has_bengali(text), tx.english_tokens(text))
+    tokens = F.when(F.col(text).isNotNull() & ~tx.has_bengali(text), tx.english_tokens(text))
+    n = known.limit(max(inline_words, shipped_words) + 1).count()
+    if n <= inline_words:
+        words = ", ".join(sql_text(r["word"]) for r in known.collect()) or "NULL"
         staged = computed(df, _tokens=tokens)
         hits = F.expr(f"size(filter(_tokens, t -> t IN ({words})))")
         share = F.when(F.size("_tokens") > 0, hits.cast("double") / F.size("_tokens"))
-        return staged.where(share >= F.lit(min_share)).drop("_tokens")
-    passed = english_share(df, known, text).where(F.col("share") >= F.lit(min_share))
-    keyed = df.select("*", *_text_key(text))
-    return keyed.join(passed, ["_k1", "_k2"], "left_semi").select(*df.columns)
+        kept = staged.where(share >= F.lit(min_share)).drop("_tokens")
+    elif n <= shipped_words:
+        share = shipped_share(known.toArrow()["word"].combine_chunks())
+        kept = df.withColumn("_share", share(tokens)).where(F.col("_share") >= F.lit(min_share)).drop("_share")
+    else:
+        passed = english_share(df, known, text).where(F.col("share") >= F.lit(min_share))
+        keyed = df.select("*", *_text_key(text))
+        return keyed.join(passed, ["_k1", "_k2"], "left_semi").select(*df.columns)
+    known.unpersist()
+    return kept
 
 
 def mark_english(kept: DataFrame) -> DataFrame:

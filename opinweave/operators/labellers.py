@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import logging
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels as fn, lexicons as lex
 from ..functions.text import clean_text
 from .staged import computed
 
+log = logging.getLogger(__name__)
 TEXT = "cleaned_text"
 
 
@@ -87,6 +91,56 @@ def udf_scorer(udf, out: str) -> Scorer:
     return lambda df, text: df.withColumn(out, udf(F.col(text)))
 
 
+def batch_scorer(
+    load: Callable[[], Callable[[list[str]], Sequence]],
+    out: str,
+    failed: float,
+    kind: str = "double",
+    batch_size: int = 32,
+    failures: Accumulator | None = None,
+) -> Scorer:
+    """Scorer from a model that takes a list of texts and may fail.
+
+    ``load`` gives the model's predict function, once per task. A batch on which it raises gets
+    ``failed`` for its texts, those after it are scored again; where the model cannot be loaded all
+    get it. A short answer is filled up with ``failed``, a long one is cut, a missing answer is
+    ``failed``. Null texts are empty. ``failures`` counts the texts without an answer.
+    """
+    arrow = {"double": pa.float64(), "int": pa.int32()}[kind]
+
+    def answered(predict, texts: list[str], told: set[str]) -> list:
+        try:
+            said = list(predict(texts))[: len(texts)]
+            # what is no number fails its batch as well
+            said = pa.array([failed if x is None else x for x in said], arrow).to_pylist()
+        except Exception as e:  # whatever a model raises costs its batch only
+            if not told:
+                log.warning("a batch of %d texts failed: %s", len(texts), e)
+            told.add(type(e).__name__)
+            said = []
+        if failures is not None:
+            failures.add(len(texts) - len(said))
+        return said + [failed] * (len(texts) - len(said))
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            predict = load()
+        except Exception as e:
+            log.warning("the model cannot be loaded: %s", e)
+            predict = None
+        told: set[str] = set()
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            said = []
+            for i in range(0, len(texts), batch_size):
+                said += answered(predict, texts[i : i + batch_size], told)
+            yield pa.array(said, arrow)
+
+    scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(scored, kind)
+    return lambda df, text: df.withColumn(out, udf(F.col(text)))
+
+
 def model_scorer(model, features: Scorer, out: str, keep: Column | None = None) -> Scorer:
     """Scorer from a fitted MLlib model and the step that builds its ``features``."""
 

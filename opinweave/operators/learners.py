@@ -1,25 +1,25 @@
-"""Learners on MLlib, with one shape: ``fit(train) -> Fitted``, ``Fitted.predict(df)``."""
+"""Learners on MLlib and `trees`, with one shape: ``fit(train) -> Fitted``, ``Fitted.predict(df)``."""
 
 from __future__ import annotations
 
 import logging
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,12 +27,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import space_tokens
-from ..plans.workspace import ensure_checkpoint_dir
+from . import trees
 from .evaluation import classification_metrics
 from .features import build_vocabulary, minmax_scaler, standard_scaler, with_sequences
 
 log = logging.getLogger(__name__)
 ROWS_PER_TASK = 20_000
+#: Fits of a grid that run side by side.
+AT_ONCE = 4
 
 # ------------------------------------------------------------ embeddings
 
@@ -119,16 +121,40 @@ def _fit_estimator(train: DataFrame, estimator, features: str, label: str) -> Fi
 _COLUMNS = {"featuresCol": "_x", "labelCol": "_y"}
 
 
-def train_random_forest(train, features="features", label="y", trees=200, depth=20, seed=42) -> Fitted:
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, **_COLUMNS
-    )
-    return _fit_estimator(train, forest, features, label)
+def _fit_trees(train: DataFrame, features: str, label: str, fit: Callable) -> Fitted:
+    """``fit(rows, bins, classes)`` on binned rows gives a model with ``scores`` of raw features."""
+    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    codes = F.array_position(F.lit([int(c) for c in classes]), F.col(label).cast("int")) - 1
+    bins = trees.find_bins(train, features)
+    rows = _training_rows(trees.packed(train, features, codes, bins))
+    try:
+        model = fit(rows, bins, len(classes))
+    finally:
+        rows.unpersist()
+
+    @F.pandas_udf("double")
+    def chosen(x: pd.Series) -> pd.Series:
+        matrix = np.stack(x.to_numpy()) if len(x) else np.empty((0, len(bins.cuts)))
+        return pd.Series(model.scores(matrix).argmax(axis=1).astype(float))
 
+    return Fitted(lambda df: df.withColumn("prediction", chosen(vector_to_array("_x"))), classes, features)
 
-def train_decision_tree(train, features="features", label="y", depth=20, seed=42) -> Fitted:
-    tree = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=2, seed=seed, **_COLUMNS)
-    return _fit_estimator(train, tree, features, label)
+
+def train_random_forest(
+    train, features="features", label="y", n_trees=200, depth=20, min_split=5, min_leaf=2, seed=42
+) -> Fitted:
+    """Trees on bootstrap draws, each node trying the root of the number of features."""
+
+    def fit(rows, bins, k):
+        tried = max(1, math.isqrt(len(bins.cuts)))
+        return trees.fit_forest(rows, bins, k, n_trees, trees.Rules(depth, min_split, min_leaf, tried, seed))
+
+    return _fit_trees(train, features, label, fit)
+
+
+def train_decision_tree(train, features="features", label="y", depth=20, min_split=5, min_leaf=2) -> Fitted:
+    rules = trees.Rules(depth, min_split, min_leaf)
+    return _fit_trees(train, features, label, lambda rows, bins, k: trees.fit_forest(rows, bins, k, 1, rules, False))
 
 
 def train_logistic(
@@ -161,19 +187,13 @@ def train_naive_bayes(train, features="features", label="y", alpha=1.0) -> Fitte
 
 
 def train_gradient_boosting(
-    train, features="features", label="y", rounds=200, depth=10, rate=0.1, seed=42
+    train, features="features", label="y", rounds=200, depth=10, rate=0.1, min_split=2, min_leaf=1
 ) -> Fitted:
-    """Boosted trees, one model per class against the rest."""
-    trees = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=True,
-        checkpointInterval=10, **_COLUMNS,
+    """Boosted trees on the gradients of all classes, one tree per class and round."""
+    rules = trees.Rules(depth, min_split, min_leaf)
+    return _fit_trees(
+        train, features, label, lambda rows, bins, k: trees.fit_boosted(rows, bins, k, rounds, rate, rules)
     )
-    ensure_checkpoint_dir(train.sparkSession)
-
-    def estimator(k: int):
-        return trees if k == 2 else OneVsRest(classifier=trees, **_COLUMNS)
-
-    return _fit_estimator(train, estimator, features, label)
 
 
 def _fourier_features(train: DataFrame, features: str, width: int, seed: int):
@@ -215,70 +235,9 @@ def train_svm(train, features="features", label="y", width=256, c=1.0, max_iter=
     return Fitted(transform, fitted.classes, features)
 
 
-def _stump(model) -> tuple[int, float, int, int]:
-    """Feature, cut and the classes at and above it, of a tree of one split at most."""
-    root = model._call_java("rootNode")
-    if model.numNodes == 1:
-        return 0, math.inf, int(root.prediction()), int(root.prediction())
-    split = root.split()
-    left, right = root.leftChild().prediction(), root.rightChild().prediction()
-    return split.featureIndex(), split.threshold(), int(left), int(right)
-
-
-def train_adaboost(
-    train, features="features", label="y", rounds=200, rate=0.1, seed=42, checkpoint_every=10
-) -> Fitted:
-    """Boosted stumps (SAMME). Row weights are cut from their lineage every few rounds."""
-    ensure_checkpoint_dir(train.sparkSession)
-    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
-    k = len(classes)
-    codes = F.array_position(F.lit([int(c) for c in classes]), F.col(label).cast("int")) - 1
-    first = rows = _training_rows(
-        train.select(
-            array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
-            codes.cast("double").alias("_y"),
-            F.lit(1.0).alias("_w"),
-        )
-    )
-    stump = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=seed, **_COLUMNS)
-    votes: list[tuple[object, float]] = []
-    for i in range(rounds):
-        model = stump.fit(rows)
-        scored = model.transform(rows).withColumn(
-            "_miss", (F.col("prediction") != F.col("_y")).cast("double")
-        )
-        sums = scored.agg(F.sum(F.col("_w") * F.col("_miss")).alias("e"), F.sum("_w").alias("w")).first()
-        error = sums["e"] / sums["w"]
-        if error <= 0:
-            votes.append((model, 1.0))
-            break
-        if error >= 1 - 1 / k:
-            if not votes:
-                votes.append((model, 1.0))
-            break
-        alpha = rate * (math.log((1 - error) / error) + math.log(k - 1 if k > 1 else 1))
-        votes.append((model, alpha))
-        # weights are kept at a mean of 1
-        grown = F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))
-        scale = sums["w"] / (sums["w"] + sums["e"] * (math.exp(alpha) - 1))
-        rows = scored.select("_x", "_y", (grown * F.lit(scale)).alias("_w"))
-        if (i + 1) % checkpoint_every == 0:
-            rows = rows.checkpoint(eager=True)
-    first.unpersist()
-
-    at, cut, low, high, weight = (np.array(c) for c in zip(*(_stump(m) + (a,) for m, a in votes), strict=True))
-
-    @F.pandas_udf("double")
-    def voted(x: pd.Series) -> pd.Series:
-        matrix = np.stack(x.to_numpy()) if len(x) else np.empty((0, at.max(initial=0) + 1))
-        chosen = np.where(matrix[:, at] <= cut, low, high)
-        totals = np.stack([(weight * (chosen == c)).sum(axis=1) for c in range(k)], axis=1)
-        return pd.Series(totals.argmax(axis=1).astype(float))
-
-    def transform(data: DataFrame) -> DataFrame:
-        return data.withColumn("prediction", voted(vector_to_array("_x")))
-
-    return Fitted(transform, classes, features)
+def train_adaboost(train, features="features", label="y", rounds=200, rate=0.1) -> Fitted:
+    """Boosted stumps (SAMME)."""
+    return _fit_trees(train, features, label, lambda rows, bins, k: trees.fit_stumps(rows, bins, k, rounds, rate))
 
 
 def train_perceptron(train, features="features", label="y", hidden=(64,), max_iter=100, seed=42) -> Fitted:
@@ -338,63 +297,94 @@ def model_grid(
     learners: dict[str, Learner] | None = None,
     text: str = "cleaned_text",
     label: str = "y",
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """``model, embedding, accuracy, precision, recall, f1, error`` for every pair.
 
-    A learner that needs two classes where training has one is left out. One whose settings or
-    data MLlib rejects has NULL metrics and the reason in ``error``; failures of the cluster end
-    the grid.
+    The inputs are computed once per embedding and kept; ``at_once`` learners are fitted side by
+    side, so that the many small jobs of one fill the gaps of another. A learner that needs two
+    classes where training has one is left out. One whose settings or data are rejected has NULL
+    metrics and the reason in ``error``; failures of the cluster end the grid.
     """
     learners = LEARNERS if learners is None else learners
     classes = train.agg(F.count_distinct(label).alias("n")).first()["n"]
-    results = []
+    chosen = {n: x for n, x in learners.items() if classes >= 2 or not x.needs_two_classes}
+    inputs = {}
     for embedding, embed in embeddings.items():
-        a = embed(train, text).select(label, F.col("embedding").alias("features")).persist()
-        b = embed(test, text).select(label, F.col("embedding").alias("features")).persist()
-        for name, learner in learners.items():
-            if learner.needs_two_classes and classes < 2:
-                continue
-            try:
-                scored = fit_and_predict(a, b, learner, label=label)
-                keyed = scored.select(
-                    F.lit(name).alias("model"), F.lit(embedding).alias("embedding"),
-                    F.col(label).alias("y"), "yhat",
-                )
-                rows = classification_metrics(keyed, ("model", "embedding")).collect()
-                results += [(*r, None) for r in rows]
-            except (ValueError, IllegalArgumentException) as e:
-                log.warning("%s on %s: %s", name, embedding, e)
-                results.append((name, embedding, None, None, None, None, str(e).splitlines()[0]))
-        a.unpersist()
-        b.unpersist()
+        rows = [embed(df, text).select(label, F.col("embedding").alias("features")) for df in (train, test)]
+        inputs[embedding] = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in rows]
+        for df in inputs[embedding]:
+            df.count()
+
+    def result(embedding: str, name: str) -> list[tuple]:
+        try:
+            scored = fit_and_predict(*inputs[embedding], chosen[name], label=label)
+            keyed = scored.select(
+                F.lit(name).alias("model"), F.lit(embedding).alias("embedding"), F.col(label).alias("y"), "yhat"
+            )
+            return [(*r, None) for r in classification_metrics(keyed, ("model", "embedding")).collect()]
+        except (ValueError, IllegalArgumentException) as e:
+            log.warning("%s on %s: %s", name, embedding, e)
+            return [(name, embedding, None, None, None, None, str(e).splitlines()[0])]
+
+    pairs = [(e, n) for n in chosen for e in embeddings]
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            started = [pool.submit(inheritable_thread_target(train.sparkSession)(result), *pair) for pair in pairs]
+            results = [row for future in started for row in future.result()]
+    finally:
+        for df in (df for both in inputs.values() for df in both):
+            df.unpersist()
     schema = "model STRING, embedding STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, error STRING"
     return train.sparkSession.createDataFrame(results, schema)
 
 
-def sequence_features(df: DataFrame, ids: str = "ids", dim: int = 256, out: str = "features") -> DataFrame:
-    """Adds the unit-length hashed counts of a sequence's ids and of its neighbouring ids.
+def recurrent_features(
+    df: DataFrame, ids: str = "ids", units: int = 64, out: str = "features", seed: int = 42, memory: float = 0.95
+) -> DataFrame:
+    """Adds what a fixed random recurrent network remembers of a sequence: its last and its mean state.
 
-    Padding does not count; pairs of neighbours carry the order of words.
+    A state is ``tanh(state W + E[id])`` with an orthogonal ``W`` scaled by ``memory``, so texts of the
+    same words, or of the same pairs of neighbours, in another order differ. Padding (0) leaves the state as
+    it is. Every id's row of ``E`` comes from the seed and the id; a batch takes one step at a time.
     """
-    used = F.filter(F.col(ids), lambda i: i != 0).cast("array<string>")
-    pairs = F.zip_with(used, F.slice(used, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    terms = F.concat(used, F.slice(pairs, 1, F.greatest(F.size(used) - 1, F.lit(0))))
-    hasher = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dim)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)
-    rows = unit.transform(hasher.transform(df.withColumn("_terms", terms)))
-    return rows.withColumn(out, vector_to_array("_unit")).drop("_terms", "_tf", "_unit")
+    draw = np.random.default_rng(seed)
+    turn = memory * np.linalg.qr(draw.normal(size=(units, units)))[0]
+
+    @F.arrow_udf("array<double>")
+    def states(sequences: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(sequences), 0).to_numpy(zero_copy_only=False)
+        longest = int(counts.max(initial=0))
+        grid = np.zeros((len(counts), longest), np.int64)
+        grid[np.arange(longest) < counts[:, None]] = sequences.flatten().to_numpy(zero_copy_only=False)
+        known, place = np.unique(grid, return_inverse=True)
+        place = place.reshape(grid.shape)
+        drawn = np.stack([np.random.default_rng([seed, int(i)]).normal(size=units) for i in known]) if len(known) else None
+        state, total = np.zeros((len(counts), units)), np.zeros((len(counts), units))
+        used = np.maximum((grid != 0).sum(axis=1), 1)
+        for t in range(longest):
+            some = np.flatnonzero(grid[:, t])
+            if len(some):
+                state[some] = np.tanh(state[some] @ turn + drawn[place[some, t]])
+                total[some] += state[some]
+        both = np.concatenate([state, total / used[:, None]], axis=1)
+        ends = np.arange(len(both) + 1, dtype=np.int32) * 2 * units
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(both.ravel()))
+
+    return df.withColumn(out, states(F.col(ids).cast("array<int>")))
 
 
 def train_sequence_classifier(
     df: DataFrame, pseudo: str = "pseudo_label", id_col: str = "id", text: str = "cleaned_text",
-    dim: int = 256, fallback: str | None = None,
+    units: int = 64, fallback: str | None = None,
 ) -> DataFrame:
     """Self-training: fit on pseudo-labels, then label every row again as ``ground_truth``.
 
-    The features are those of the rows' token ids in a vocabulary of their own.
+    A random recurrent network reads the rows' token ids in a vocabulary of their own; what it
+    remembers is read out by a small network that is trained.
     """
     coded = with_sequences(df, build_vocabulary(df, id_col, text), text)
-    rows = sequence_features(coded, dim=dim).drop("ids").persist()
+    rows = recurrent_features(coded, units=units).drop("ids").persist(StorageLevel.MEMORY_AND_DISK)
     fitted = train_perceptron(rows, label=pseudo)
     scored = fitted.predict(rows, "ground_truth").drop("features")
     if fallback is not None:

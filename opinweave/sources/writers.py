@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import negative_rate
@@ -54,3 +57,24 @@ def write_negative_by_app(df: DataFrame, path: str, fmt: str = "csv") -> DataFra
 def write_filtered(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write the rows marked as English, per app."""
     write_table(df.where(F.col("is_english")), path, fmt, by="app")
+
+
+def write_utf8_sig(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV files that begin with a byte-order mark and a header, as spreadsheets want them.
+
+    Spark's text sink writes and commits the files; a task only puts the mark and the header before
+    its first row. NULL is an empty cell, an empty text a quoted one; quotes are doubled. An empty
+    frame gives a file with the header.
+    """
+    options = {"quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    said = io.StringIO()
+    csv.writer(said, lineterminator="").writerow(df.columns)
+    header = "\ufeff" + said.getvalue()
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+
+    lines = df.select(F.to_csv(F.struct(*(F.col(f"`{c}`") for c in df.columns)), options).alias("value"))
+    lines.mapInArrow(headed, "value STRING").write.mode(mode).option("encoding", "UTF-8").text(path)

@@ -79,8 +79,8 @@ def test_learners_beat_the_majority_class(spark):
         rows.append((i, y, [float(v) for v in x]))
     df = spark.createDataFrame(rows, "id INT, y INT, features ARRAY<DOUBLE>").persist()
     train, test = df.where("id < 240"), df.where("id >= 240")
-    quick = {"Random Forest": {"trees": 10, "depth": 5}, "Gradient Boosting": {"rounds": 3, "depth": 3},
-             "AdaBoost": {"rounds": 25, "rate": 0.5, "checkpoint_every": 5}, "SVM": {"max_iter": 20}}
+    quick = {"Random Forest": {"n_trees": 10, "depth": 5}, "Gradient Boosting": {"rounds": 3, "depth": 3},
+             "AdaBoost": {"rounds": 25, "rate": 0.5}, "SVM": {"max_iter": 20}}
     for name, learner in ln.LEARNERS.items():
         scored = ln.fit_and_predict(train, test, learner, **quick.get(name, {})).collect()
         right = sum(r["y"] == r["yhat"] for r in scored) / len(scored)
