@@ -475,6 +475,13 @@ BODY["score_failing_batches"] = (
     f"CASE WHEN w % 7 IN (3, 5) THEN -1 WHEN w % 2 = 0 THEN 0 ELSE 2 END AS sentiment, CASE WHEN w % 5 = 2 THEN CAST(0 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / (1 + w), 6) END AS toxicity_score "
     f"FROM (SELECT id, {_words_of} AS w FROM c)"
 )
+BODY["kmeans_step"] = (
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
+    "near AS (SELECT e.vec_id, e.x, CAST(c.vec_id AS INTEGER) AS cluster FROM e JOIN e c ON c.vec_id < 3 "
+    "QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY list_sum(list_transform(range(1, len(e.x) + 1), lambda i: (e.x[i] - c.x[i]) * (e.x[i] - c.x[i]))), c.vec_id) = 1), "
+    "long AS (SELECT cluster, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS v FROM near) "
+    "SELECT cluster, count(*) AS n, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) + 0.0 AS value FROM long GROUP BY cluster, pos"
+)
 BODY["filter_english_shipped"] = BODY["filter_english"]
 BODY["write_utf8_sig"] = "SELECT id, app, cleaned_text, true AS marked FROM c"
 

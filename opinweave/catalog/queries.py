@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels as fn, lexicons as lex, text as tx, vectors as vec
@@ -798,6 +799,17 @@ def kmeans_pseudo_labels(s, sf):
     return ps.kmeans_pseudo_labels(rows, negative, positive).select("vec_id", "cluster", "pseudo_label")
 
 
+@query
+def kmeans_step(s, sf):
+    """One step of k-means from the vectors of the ids 0, 1 and 2."""
+    rows = x.embeddings(s, sf)
+    start = [r["embedding"] for r in rows.where("vec_id < 3").orderBy("vec_id").collect()]
+    vectors = rows.select(F.col("embedding").cast("array<double>").alias("x"))
+    moved, n, _ = ps.kmeans_step(vectors, np.array([start], float))
+    centres = [(i, int(n[0, i]), [float(v) for v in c]) for i, c in enumerate(moved[0])]
+    return _long(s.createDataFrame(centres, "cluster INT, n BIGINT, centre ARRAY<DOUBLE>"), ["cluster", "n"], "centre")
+
+
 @query
 def cluster_label_rule(s, sf):
     rows = x.embeddings(s, sf)

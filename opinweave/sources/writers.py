@@ -77,4 +77,8 @@ def write_utf8_sig(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
 
     lines = df.select(F.to_csv(F.struct(*(F.col(f"`{c}`") for c in df.columns)), options).alias("value"))
-    lines.mapInArrow(headed, "value STRING").write.mode(mode).option("encoding", "UTF-8").text(path)
+    if lines.isEmpty():
+        lines = df.sparkSession.createDataFrame([(header,)], "value STRING").coalesce(1)
+    else:
+        lines = lines.mapInArrow(headed, "value STRING")
+    lines.write.mode(mode).option("encoding", "UTF-8").text(path)
