@@ -10,8 +10,10 @@ Words are ordered by rarity: a sketch counts them in a fixed number of hash buck
 is by count, then hash. Two sets that are similar enough share one of their first words in that
 order, of which there are ``n - ceil(t * n) + 1`` (prefix filter). Classes are joined on these
 words; their sizes (length filter) and the places of the shared word (positional filter) must
-leave room for enough common words, and so must a bitmap of each set. The words themselves then decide. All of it is DataFrame
-functions; hashes only find candidates and classes.
+leave room for enough common words, and so must a bitmap of each set. The words themselves then
+decide, for each later class first with its most promising partner only, so a family of ``m`` near
+copies costs about ``m`` comparisons. All of it is DataFrame functions; hashes only find
+candidates and classes.
 
 Cases: a null text has no lines; a line without words is always kept; rows with a null id come
 first; rows with one id and different texts are ordered by a hash of the text; rows that repeat
@@ -34,8 +36,14 @@ FIRST_ID = -(1 << 63)
 BROADCAST_ROWS = 250_000
 
 
+def _plain(text: str | Column) -> Column:
+    """The text with blanks for all white space but line breaks."""
+    return F.translate(text, "\t\v\f\r", "    ")
+
+
 def _words(line: str | Column) -> Column:
-    return F.array_remove(F.split(line, f"[{SPACE}]+"), "")
+    """The words of a plain line: split at one character, without a regular expression."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def _bucket(hashed: Column) -> Column:
 
 def rarity(texts: DataFrame) -> Column:
     """A fixed array: for every bucket how often its words occur, in quarters of a power of two."""
-    words = texts.select(F.explode(_words("text")).alias("word"))
+    words = texts.select(F.explode(_words(F.translate(_plain("text"), "\n", " "))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.floor(F.log2(F.col("n") + 1) * 4).cast("int")
     found = counts.select("bucket", level.alias("level")).toArrow()  # at most BUCKETS rows
@@ -66,7 +74,7 @@ def _classes(keyed: DataFrame, percent: int) -> DataFrame:
     ``class`` is a hash of the set; ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
     """
     levels = rarity(keyed)
-    lines = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    lines = keyed.select("doc", "key", F.posexplode(F.split(_plain("text"), "\n")).alias("line", "said"))
     rows = computed(lines, hashed=F.array_distinct(F.transform(_words("said"), lambda w: F.xxhash64(w))))
     rows = rows.where(F.size("hashed") > 0).select("doc", "key", "line", "hashed")
     order = F.transform(
@@ -92,41 +100,72 @@ def _classes(keyed: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: classes that share a rare word and may be similar enough."""
+    """``a, b, apart``: classes that share a rare word and may be similar enough, and by how many words they differ at least.
+
+    Of two similar sets the smaller shares with the larger one of its first
+    ``n - ceil(2 t n / (1 + t)) + 1`` words already, so only those look for partners.
+    """
     rows = classes.select("class", "n", "bits", F.posexplode("prefix").alias("place", "word"))
     left, right = rows.alias("l"), rows.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
+    looks = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)).cast("int")
     rest = F.least(n - F.col("l.place"), m - F.col("r.place"))  # the shared word and those after it
     apart = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))  # words of one set only, at least
     fits = (
         (F.col("l.word") == F.col("r.word"))
+        & (F.col("l.place") <= looks)
         & ((n < m) | ((n == m) & (F.col("l.class") < F.col("r.class"))))
         & (100 * n >= percent * m)
         & ((100 + percent) * rest >= percent * (n + m))
         & ((100 + percent) * apart <= (100 - percent) * (n + m))
     )
-    pairs = left.join(right, fits).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
-    return pairs.distinct()
+    pairs = left.join(right, fits)
+    return pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b"), apart.alias("apart")).distinct()
+
+
+def _in_order(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``late, late_at, early, early_at, apart`` of the pairs, by where the classes first occur."""
+    places = classes.select("class", "first")
+    both = pairs.join(places.select(F.col("class").alias("a"), F.col("first").alias("at_a")), "a")
+    both = both.join(places.select(F.col("class").alias("b"), F.col("first").alias("at_b")), "b")
+    a, b = (F.struct(F.col(f"at_{c}").alias("at"), F.col(c).alias("class")) for c in "ab")
+    ends = both.select("apart", F.least(a, b).alias("early"), F.greatest(a, b).alias("late"))
+    return ends.select(
+        F.col("late.class").alias("late"), F.col("late.at").alias("late_at"),
+        F.col("early.class").alias("early"), F.col("early.at").alias("early_at"), "apart",
+    )
 
 
-def _similar(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose word sets are similar, with the places of both."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    places = classes.select("class", "first").join(ends, "class")
-    by_doc = places.groupBy(F.col("first.doc").alias("doc"), F.col("first.key").alias("key")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "class")).alias("wanted")
+def _similar(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``late`` of the pairs whose word sets are similar; rows that repeat id and text say the same."""
+    ends = pairs.select(F.inline(F.array(*(F.struct(F.col(e).alias("class"), F.col(f"{e}_at").alias("at")) for e in ("late", "early"))))).distinct()
+    by_doc = ends.groupBy(F.col("at.doc").alias("doc"), F.col("at.key").alias("key")).agg(
+        F.collect_list(F.struct(F.col("at.line").alias("line"), "class")).alias("wanted")
     )
-    texts = computed(attach(keyed, by_doc, ["doc", "key"], "inner", BROADCAST_ROWS), lines=F.split("text", "\n"))
-    found = texts.select("doc", "key", "lines", F.explode("wanted").alias("w"))
+    texts = computed(attach(keyed, by_doc, ["doc", "key"], "inner", BROADCAST_ROWS), lines=F.split(_plain("text"), "\n"))
+    found = texts.select("lines", F.explode("wanted").alias("w"))
     words = F.array_distinct(_words(F.get(F.col("lines"), F.col("w.line"))))
-    sets = found.select(F.col("w.class").alias("class"), F.struct("doc", "key", "w.line").alias("at"), words.alias("words"))
-    # rows that repeat id and text say the same
-    sets = written(sets.dropDuplicates(["class"]))
-    x = sets.select(F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("words").alias("u"))
-    y = sets.select(F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("words").alias("v"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("c", F.size(F.array_intersect("u", "v")))
+    sets = found.select(F.col("w.class").alias("class"), words.alias("words")).dropDuplicates(["class"])
+    x = sets.select(F.col("class").alias("early"), F.col("words").alias("u"))
+    y = sets.select(F.col("class").alias("late"), F.col("words").alias("v"))
+    both = pairs.select("early", "late").join(x, "early").join(y, "late").withColumn("c", F.size(F.array_intersect("u", "v")))
     enough = 100 * F.col("c") >= percent * (F.size("u") + F.size("v") - F.col("c"))
-    return both.where(enough).select("a", "b", "at_a", "at_b")
+    return both.where(enough).select("late")
+
+
+def later_copies(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``late``: the classes that have a similar one before them.
+
+    One similar class is enough, so each class is first compared with its most promising partner
+    alone: of m near copies of a line about m pairs are verified, not all. What that does not
+    settle is compared with all its other partners.
+    """
+    pairs = cut(_in_order(_candidates(classes, percent), classes))
+    promising = F.min(F.struct("apart", "early_at", "early", "late_at")).alias("p")
+    first = cut(pairs.groupBy("late").agg(promising).select("late", "p.*"))
+    settled = cut(_similar(keyed, first, percent))
+    rest = pairs.join(settled, "late", "left_anti").join(first.select("late", "early"), ["late", "early"], "left_anti")
+    return settled.union(_similar(keyed, cut(rest), percent).distinct())
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -135,10 +174,8 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # short numbers for the classes: they are shuffled with every rare word
     found = _classes(keyed, percent).drop("class")
     classes = written(found.withColumn("class", F.monotonically_increasing_id()))
-    pairs = cut(_candidates(classes, percent))
-    similar = _similar(keyed, classes, pairs, percent)
-    later = similar.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("class"))
-    stay = classes.select("class", "first").join(later.distinct(), "class", "left_anti")
+    later = later_copies(keyed, classes, percent).withColumnRenamed("late", "class")
+    stay = classes.select("class", "first").join(later, "class", "left_anti")
     return stay.select("first.doc", "first.key", "first.line")
 
 
@@ -166,8 +203,8 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Lines of every document, how many have words, and the numbers of those that stay."""
-    split = F.split("text", "\n")
-    with_words = F.size(F.filter(split, lambda x: x.rlike(f"[^{SPACE}]")))
+    split = F.split(_plain("text"), "\n")
+    with_words = F.size(F.filter(split, lambda x: F.trim(x) != ""))
     counted = _named(docs.select("doc_id", "text")).select(
         "doc_id",
         "_doc",

@@ -283,3 +283,34 @@ def test_octopus_fetches_the_least_and_it_is_enough():
         for i in mine:
             wanted = [level[(i >> k) ^ 1].encode() if (i >> k) ^ 1 < len(level) else None for k, level in enumerate(tree[:-1])]
             assert merkle.siblings(nodes, size, i) == wanted
+
+
+# ---------------------------------------------------------------- line dedup by rounds
+
+
+def test_line_families_are_settled_by_few_comparisons(spark, monkeypatch):
+    """Two thousand near copies of a line, and chains whose neighbours only are similar."""
+    from opinweave.llm import linedup
+
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(40)]
+    lines = []
+    for i in range(2000):
+        words = list(base)
+        words[draw.randrange(40)] = f"x{i}"
+        lines.append(" ".join(words))
+    chain = [" ".join(f"c{j}" for j in range(i, i + 20)) for i in range(0, 60, 2)]
+    rows = [(i, "\n".join(lines[i * 20 : i * 20 + 20])) for i in range(100)] + [(200 + i, t) for i, t in enumerate(chain)]
+    compared = []
+    similar = linedup._similar
+    monkeypatch.setattr(linedup, "_similar", lambda k, pairs, p: (compared.append(pairs.count()), similar(k, pairs, p))[1])
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = {r["doc_id"]: r["kept_lines"] for r in linedup.line_report(df).collect()}
+    said = [(i, j, frozenset(t.split())) for i, text in rows for j, t in enumerate(text.split("\n"))]
+    alike = lambda u, v: 100 * len(u & v) >= 80 * len(u | v)
+    wanted = {i: [] for i, _ in rows}
+    for n, (i, j, u) in enumerate(said):
+        if not any(alike(u, v) for _, _, v in said[:n]):
+            wanted[i].append(str(j))
+    assert found == {i: ",".join(v) for i, v in wanted.items()}
+    assert compared[0] <= 2030 and sum(compared) < 6000
