@@ -26,24 +26,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import attach
 from ..operators.staged import computed
-from .common import SPACE, cut, written
+from .common import SPACE, freed_shuffles, written
 
 PERCENT = 80
 #: Hash buckets of the word counts: a table of 2 MB whatever the corpus.
 BUCKETS = 1 << 18
 FIRST_ID = -(1 << 63)
+BLANKS = " \t\v\f\r"
 #: Documents with candidate lines, some dozen bytes each, that may be broadcast.
 BROADCAST_ROWS = 250_000
 
 
-def _plain(text: str | Column) -> Column:
-    """The text with blanks for all white space but line breaks."""
-    return F.translate(text, "\t\v\f\r", "    ")
-
-
 def _words(line: str | Column) -> Column:
-    """The words of a plain line: split at one character, without a regular expression."""
-    return F.array_remove(F.split(line, " "), "")
+    return F.array_remove(F.split(line, f"[{SPACE}]+"), "")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -58,10 +53,11 @@ def _bucket(hashed: Column) -> Column:
 
 def rarity(texts: DataFrame) -> Column:
     """A fixed array: for every bucket how often its words occur, in quarters of a power of two."""
-    words = texts.select(F.explode(_words(F.translate(_plain("text"), "\n", " "))).alias("word"))
+    words = texts.select(F.explode(_words("text")).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.floor(F.log2(F.col("n") + 1) * 4).cast("int")
-    found = counts.select("bucket", level.alias("level")).toArrow()  # at most BUCKETS rows
+    with freed_shuffles(texts.sparkSession):
+        found = counts.select("bucket", level.alias("level")).toArrow()  # at most BUCKETS rows
     levels = ["0"] * BUCKETS
     for bucket, at in zip(found["bucket"].to_pylist(), found["level"].to_pylist(), strict=True):
         levels[bucket] = str(at)
@@ -74,7 +70,7 @@ def _classes(keyed: DataFrame, percent: int) -> DataFrame:
     ``class`` is a hash of the set; ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
     """
     levels = rarity(keyed)
-    lines = keyed.select("doc", "key", F.posexplode(F.split(_plain("text"), "\n")).alias("line", "said"))
+    lines = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
     rows = computed(lines, hashed=F.array_distinct(F.transform(_words("said"), lambda w: F.xxhash64(w))))
     rows = rows.where(F.size("hashed") > 0).select("doc", "key", "line", "hashed")
     order = F.transform(
@@ -142,10 +138,10 @@ def _similar(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     by_doc = ends.groupBy(F.col("at.doc").alias("doc"), F.col("at.key").alias("key")).agg(
         F.collect_list(F.struct(F.col("at.line").alias("line"), "class")).alias("wanted")
     )
-    texts = computed(attach(keyed, by_doc, ["doc", "key"], "inner", BROADCAST_ROWS), lines=F.split(_plain("text"), "\n"))
+    texts = computed(attach(keyed, by_doc, ["doc", "key"], "inner", BROADCAST_ROWS), lines=F.split("text", "\n"))
     found = texts.select("lines", F.explode("wanted").alias("w"))
     words = F.array_distinct(_words(F.get(F.col("lines"), F.col("w.line"))))
-    sets = found.select(F.col("w.class").alias("class"), words.alias("words")).dropDuplicates(["class"])
+    sets = written(found.select(F.col("w.class").alias("class"), words.alias("words"))).dropDuplicates(["class"])
     x = sets.select(F.col("class").alias("early"), F.col("words").alias("u"))
     y = sets.select(F.col("class").alias("late"), F.col("words").alias("v"))
     both = pairs.select("early", "late").join(x, "early").join(y, "late").withColumn("c", F.size(F.array_intersect("u", "v")))
@@ -160,12 +156,12 @@ def later_copies(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFram
     alone: of m near copies of a line about m pairs are verified, not all. What that does not
     settle is compared with all its other partners.
     """
-    pairs = cut(_in_order(_candidates(classes, percent), classes))
+    pairs = written(_in_order(written(_candidates(classes, percent)), classes))
     promising = F.min(F.struct("apart", "early_at", "early", "late_at")).alias("p")
-    first = cut(pairs.groupBy("late").agg(promising).select("late", "p.*"))
-    settled = cut(_similar(keyed, first, percent))
+    first = written(pairs.groupBy("late").agg(promising).select("late", "p.*"))
+    settled = written(_similar(keyed, first, percent))
     rest = pairs.join(settled, "late", "left_anti").join(first.select("late", "early"), ["late", "early"], "left_anti")
-    return settled.union(_similar(keyed, cut(rest), percent).distinct())
+    return settled.union(_similar(keyed, written(rest), percent).distinct())
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -203,8 +199,8 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Lines of every document, how many have words, and the numbers of those that stay."""
-    split = F.split(_plain("text"), "\n")
-    with_words = F.size(F.filter(split, lambda x: F.trim(x) != ""))
+    split = F.split("text", "\n")
+    with_words = F.size(F.filter(split, lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     counted = _named(docs.select("doc_id", "text")).select(
         "doc_id",
         "_doc",
