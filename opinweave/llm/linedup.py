@@ -32,6 +32,8 @@ PERCENT = 80
 #: Hash buckets of the word counts: a table of 2 MB whatever the corpus.
 BUCKETS = 1 << 18
 FIRST_ID = -(1 << 63)
+#: Longs of the bitmaps that pairs are compared by before their words.
+WIDE = 8
 BLANKS = " \t\v\f\r"
 #: Documents with candidate lines, some dozen bytes each, that may be broadcast.
 BROADCAST_ROWS = 250_000
@@ -47,52 +49,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64("text").alias("key"), "text")
 
 
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND(BUCKETS - 1).cast("int")
+def _bucket(token: Column) -> Column:
+    return token.bitwiseAND(BUCKETS - 1)
 
 
-def rarity(texts: DataFrame) -> Column:
+def _classes(keyed: DataFrame) -> DataFrame:
+    """``class, first, tokens``: distinct word sets, where they occur first, and 31 bits of each word's hash.
+
+    Classes are told apart by 64 bits of all their words' hashes and get a short number each.
+    """
+    lines = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    hashes = F.sort_array(F.array_distinct(F.transform(_words("said"), lambda w: F.xxhash64(w))))
+    rows = computed(lines, hashed=hashes).where(F.size("hashed") > 0)
+    rows = rows.select(
+        F.xxhash64("hashed").alias("class"), F.struct("doc", "key", "line").alias("at"),
+        F.transform("hashed", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")).alias("tokens"),
+    )
+    found = rows.groupBy("class").agg(F.min("at").alias("first"), F.first("tokens").alias("tokens"))
+    return written(found.select(F.monotonically_increasing_id().alias("class"), "first", "tokens"))
+
+
+def rarity(classes: DataFrame) -> Column:
     """A fixed array: for every bucket how often its words occur, in quarters of a power of two."""
-    words = texts.select(F.explode(_words("text")).alias("word"))
-    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.floor(F.log2(F.col("n") + 1) * 4).cast("int")
-    with freed_shuffles(texts.sparkSession):
-        found = counts.select("bucket", level.alias("level")).toArrow()  # at most BUCKETS rows
+    counts = classes.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("bucket"))
+    level = F.floor(F.log2(F.count(F.lit(1)) + 1) * 4).cast("int")
+    with freed_shuffles(classes.sparkSession):
+        found = counts.agg(level.alias("level")).toArrow()  # at most BUCKETS rows
     levels = ["0"] * BUCKETS
     for bucket, at in zip(found["bucket"].to_pylist(), found["level"].to_pylist(), strict=True):
         levels[bucket] = str(at)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")  # folded to a constant
 
 
-def _classes(keyed: DataFrame, percent: int) -> DataFrame:
-    """``class, n, bits, first, prefix``: distinct word sets, their places and rarest words.
+def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """``class, n, bits, place, word``: a row for each of the rarest words that a class is found by.
 
-    ``class`` is a hash of the set; ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
+    ``bits`` has a bit for each remainder of 64, set if an odd number of the words has it.
     """
-    levels = rarity(keyed)
-    lines = keyed.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    rows = computed(lines, hashed=F.array_distinct(F.transform(_words("said"), lambda w: F.xxhash64(w))))
-    rows = rows.where(F.size("hashed") > 0).select("doc", "key", "line", "hashed")
-    order = F.transform(
-        "hashed", lambda h: F.shiftleft(F.get(levels, _bucket(h)), 50) + F.shiftrightunsigned(h, 14)
-    )
-    rows = computed(rows, tokens=F.sort_array(order)).select("doc", "key", "line", "tokens")
-    n = F.size("tokens")
-    needed = F.floor((n * percent + 99) / 100).cast("int")
-    prefix = F.transform(F.slice("tokens", 1, n - needed + 1), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
-    one = F.lit(1).cast("long")
+    levels = rarity(classes)
+    one, low = F.lit(1).cast("long"), 0x7FFFFFFF
+    # never null, so arrays are sorted as plain numbers
+    level = lambda t: F.coalesce(F.get(levels, _bucket(t)), F.lit(0).cast("long"))
+    order = F.transform("tokens", lambda t: F.shiftleft(level(t), 32) + t)
     bits = F.aggregate(
         "tokens",
         F.lit(0).cast("long"),
-        lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))),
-    )
-    rows = rows.select(
-        F.xxhash64("tokens").alias("class"), F.struct("doc", "key", "line").alias("at"), n.alias("n"),
-        bits.alias("bits"), prefix.alias("prefix"),
-    )
-    return rows.groupBy("class").agg(
-        F.min("at").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
+        lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63))),
     )
+    n = F.size("tokens")
+    needed = F.floor((n * percent + 99) / 100).cast("int")
+    rarest = F.transform(F.slice(F.sort_array(order), 1, n - needed + 1), lambda t: t.bitwiseAND(low).cast("int"))
+    rows = computed(classes.select("class", "tokens"), n=n, bits=bits, prefix=rarest)
+    return rows.select("class", "n", "bits", F.posexplode("prefix").alias("place", "word"))
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -101,7 +109,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     Of two similar sets the smaller shares with the larger one of its first
     ``n - ceil(2 t n / (1 + t)) + 1`` words already, so only those look for partners.
     """
-    rows = classes.select("class", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+    rows = _prefixes(classes, percent)
     left, right = rows.alias("l"), rows.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     looks = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)).cast("int")
@@ -132,21 +140,42 @@ def _in_order(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _similar(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``late`` of the pairs whose word sets are similar; rows that repeat id and text say the same."""
-    ends = pairs.select(F.inline(F.array(*(F.struct(F.col(e).alias("class"), F.col(f"{e}_at").alias("at")) for e in ("late", "early"))))).distinct()
-    by_doc = ends.groupBy(F.col("at.doc").alias("doc"), F.col("at.key").alias("key")).agg(
+def _sets(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``class, words`` of all classes in the pairs; rows that repeat id and text say the same."""
+    ends = F.inline(F.array(*(F.struct(F.col(e).alias("class"), F.col(f"{e}_at").alias("at")) for e in ("late", "early"))))
+    by_doc = pairs.select(ends).distinct().groupBy(F.col("at.doc").alias("doc"), F.col("at.key").alias("key")).agg(
         F.collect_list(F.struct(F.col("at.line").alias("line"), "class")).alias("wanted")
     )
     texts = computed(attach(keyed, by_doc, ["doc", "key"], "inner", BROADCAST_ROWS), lines=F.split("text", "\n"))
     found = texts.select("lines", F.explode("wanted").alias("w"))
     words = F.array_distinct(_words(F.get(F.col("lines"), F.col("w.line"))))
-    sets = written(found.select(F.col("w.class").alias("class"), words.alias("words"))).dropDuplicates(["class"])
+    return written(found.select(F.col("w.class").alias("class"), words.alias("words")).dropDuplicates(["class"]))
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that bitmaps of ``64 * WIDE`` bits leave; ``apart`` is then nearly exact.
+
+    A pair carries two bitmaps here and its words only later.
+    """
+    hashed = sets.select("class", F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    slot = F.shiftright("h", 6).bitwiseAND(WIDE - 1)
+    maps = [F.bit_xor(F.when(slot == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{j}") for j in range(WIDE)]
+    bitmaps = hashed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), *maps)
+    named = lambda end: bitmaps.select(F.col("class").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in bitmaps.columns[1:]))
+    both = pairs.join(named("early"), "early").join(named("late"), "late")
+    apart = sum((F.bit_count(F.col(f"early_m{j}").bitwiseXOR(F.col(f"late_m{j}"))) for j in range(WIDE)), F.lit(0))
+    fits = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("early_n") + F.col("late_n"))
+    return written(both.withColumn("apart", apart).where(fits).select("late", "early", "early_at", "apart"))
+
+
+def _similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``late`` of the pairs whose word sets are similar."""
     x = sets.select(F.col("class").alias("early"), F.col("words").alias("u"))
     y = sets.select(F.col("class").alias("late"), F.col("words").alias("v"))
     both = pairs.select("early", "late").join(x, "early").join(y, "late").withColumn("c", F.size(F.array_intersect("u", "v")))
     enough = 100 * F.col("c") >= percent * (F.size("u") + F.size("v") - F.col("c"))
-    return both.where(enough).select("late")
+    return written(both.where(enough).select("late").distinct())
 
 
 def later_copies(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -157,19 +186,19 @@ def later_copies(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFram
     settle is compared with all its other partners.
     """
     pairs = written(_in_order(written(_candidates(classes, percent)), classes))
-    promising = F.min(F.struct("apart", "early_at", "early", "late_at")).alias("p")
-    first = written(pairs.groupBy("late").agg(promising).select("late", "p.*"))
-    settled = written(_similar(keyed, first, percent))
-    rest = pairs.join(settled, "late", "left_anti").join(first.select("late", "early"), ["late", "early"], "left_anti")
-    return settled.union(_similar(keyed, written(rest), percent).distinct())
+    sets = _sets(keyed, pairs)
+    close = _close(pairs, sets, percent)
+    promising = F.min(F.struct("apart", "early_at", "early")).alias("p")
+    first = written(close.groupBy("late").agg(promising).select("late", "p.early"))
+    settled = _similar(sets, first, percent)
+    rest = close.join(settled, "late", "left_anti").join(first, ["late", "early"], "left_anti")
+    return settled.union(_similar(sets, rest, percent))
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc, key, line``: the places of the lines with words that stay."""
     keyed = _keyed(docs)
-    # short numbers for the classes: they are shuffled with every rare word
-    found = _classes(keyed, percent).drop("class")
-    classes = written(found.withColumn("class", F.monotonically_increasing_id()))
+    classes = _classes(keyed)
     later = later_copies(keyed, classes, percent).withColumnRenamed("late", "class")
     stay = classes.select("class", "first").join(later, "class", "left_anti")
     return stay.select("first.doc", "first.key", "first.line")

@@ -303,7 +303,7 @@ def test_line_families_are_settled_by_few_comparisons(spark, monkeypatch):
     rows = [(i, "\n".join(lines[i * 20 : i * 20 + 20])) for i in range(100)] + [(200 + i, t) for i, t in enumerate(chain)]
     compared = []
     similar = linedup._similar
-    monkeypatch.setattr(linedup, "_similar", lambda k, pairs, p: (compared.append(pairs.count()), similar(k, pairs, p))[1])
+    monkeypatch.setattr(linedup, "_similar", lambda sets, pairs, p: (compared.append(pairs.count()), similar(sets, pairs, p))[1])
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     found = {r["doc_id"]: r["kept_lines"] for r in linedup.line_report(df).collect()}
     said = [(i, j, frozenset(t.split())) for i, text in rows for j, t in enumerate(text.split("\n"))]
