@@ -1,8 +1,10 @@
 """Main-text extraction with a tree-structured graphical model over the DOM.
 
 A page becomes a tree of elements. Each element has a binary state, content or not, a potential
-from its features (tag, words of its class and id, length and links of its text), and a
-potential with its parent for the four combinations of states. Sum-product messages pass from
+from its features (tag, words of its class and id, length of its text in and outside links, share
+of links in its own block), and a potential with its parent for the four combinations of states,
+of which there is a table for each kind of child: one whose tag or names speak for content,
+against it, both or neither. Sum-product messages pass from
 the leaves to the root and back, for all pages of a batch at once, level by level, and give
 every element's marginal. The weights are trained on labelled pages by gradient ascent of the
 likelihood, whose gradient is observed minus expected features, both from the same messages.
@@ -74,13 +76,16 @@ HINTS = [
     r"side|sidebar|widget|related|recommend\w*|promo|popular|teaser",
     r"ads?|advert\w*|sponsor\w*|banner|commercial",
     r"cookies?|notice|consent|gdpr|alert|popup|modal|overlay|warning|newsletter|subscribe|signup|paywall",
-    r"comments?|discussion|discuss|reply|replies|respond|disqus|thread|feedback",
+    r"comment\w*|discussion|discuss|reply|replies|respond|disqus|thread|feedback",
     r"share|social|follow|login|search",
 ]
 _HINT = [re.compile(rf"(?:^|[\s_\-])(?:{h})(?:\d|$|[\s_\-])", re.I) for h in HINTS]
 _TAG_OF = {t: i for i, group in enumerate(TAGS) for t in group}
 LINK, LENGTH = len(TAGS) + len(HINTS), [0, 1, 20, 80, 250]
-N_FEATURES = LINK + 2 + len(LENGTH) + 1
+N_FEATURES = LINK + 3 + 3 * len(LENGTH) + 1
+#: Tag groups that speak for content and against it; the first hint speaks for it, all others against.
+FOR, AGAINST = {_TAG_OF["article"], _TAG_OF["main"]}, {_TAG_OF[t] for t in ("nav", "header", "footer", "aside", "form")}
+KINDS = 4
 ROUNDS, RATE, DECAY = 800, 0.5, 1e-4
 
 
@@ -198,7 +203,7 @@ class Page(HTMLParser):
     def features(self) -> np.ndarray:
         n = len(self.tag)
         x = np.zeros((n, N_FEATURES))
-        own, linked = np.zeros(n), np.zeros(n)
+        own, linked, block, block_linked = (np.zeros(n) for _ in range(4))
         in_link = [False] * n
         for i in range(n):
             in_link[i] = self.tag[i] == "a" or (i > 0 and in_link[self.parent[i]])
@@ -207,21 +212,34 @@ class Page(HTMLParser):
                 x[i, group] = 1
             for h in self.hint[i]:
                 x[i, len(TAGS) + h] = 1
-        for _, at, text in self.runs:
+        for around, at, text in self.runs:
             if at >= 0:
                 size = len(text.strip())
                 own[at] += size
                 linked[at] += size * in_link[at]
+                block[around] += size
+                block_linked[around] += size * in_link[at]
         for i in range(n - 1, 0, -1):  # an element's text is its own and its children's
             own[self.parent[i]] += own[i]
             linked[self.parent[i]] += linked[i]
         x[:, LINK] = linked / np.maximum(own, 1)
-        x[:, LINK + 1] = np.minimum(np.log1p(own) / 8, 1.5)
+        x[:, LINK + 1] = block_linked / np.maximum(block, 1)
+        x[:, LINK + 2] = np.minimum(np.log1p(own) / 8, 1.5)
         for k, least in enumerate(LENGTH):
-            x[:, LINK + 2 + k] = own > least
+            x[:, LINK + 3 + k] = own > least
+            x[:, LINK + 3 + len(LENGTH) + k] = own - linked > least
+            x[:, LINK + 3 + 2 * len(LENGTH) + k] = block - block_linked > least
         x[:, -1] = 1
         return x
 
+    def kinds(self) -> np.ndarray:
+        """Of every element whether its tag or names speak for content (1), against it (2), both (3) or neither."""
+        out = np.zeros(len(self.tag), np.int64)
+        for i, (tag, hints) in enumerate(zip(self.tag, self.hint, strict=True)):
+            group = _TAG_OF.get(tag)
+            out[i] = (group in FOR or 0 in hints) + 2 * (group in AGAINST or any(hints))
+        return out
+
     def text(self, content: np.ndarray) -> str:
         """The blocks whose element is content, in page order."""
         out: list[str] = []
@@ -249,6 +267,7 @@ class Forest:
         bounds = np.searchsorted(depth[order], np.arange(depth.max() + 2))
         self.levels = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.features = np.concatenate([p.features() for p in pages])
+        self.kind = np.concatenate([p.kinds() for p in pages])
 
     def marginals(self, weights: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Marginals of elements (n x 2) and of parent and child (n x 2 x 2), and the log partition."""
@@ -256,14 +275,14 @@ class Forest:
         up = own.copy()  # log potential of an element and all below it
         to_parent = np.zeros_like(own)
         for level in self.levels[:0:-1]:
-            joint = pair[None] + up[level][:, None, :]
+            joint = pair[self.kind[level]] + up[level][:, None, :]
             to_parent[level] = np.logaddexp(joint[:, :, 0], joint[:, :, 1])
             np.add.at(up, self.parent[level], to_parent[level])
         down = np.zeros_like(own)
         pairs = np.zeros((len(own), 2, 2))
         for level in self.levels[1:]:
             outside = (up + down)[self.parent[level]] - to_parent[level]
-            joint = outside[:, :, None] + pair[None]
+            joint = outside[:, :, None] + pair[self.kind[level]]
             down[level] = np.logaddexp(joint[:, 0], joint[:, 1])
             both = joint + up[level][:, None, :]
             both -= np.logaddexp.reduce(both.reshape(-1, 4), axis=1)[:, None, None]
@@ -274,24 +293,32 @@ class Forest:
 
 
 def train(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and the parent-child table, from pages with ``y`` and ``n`` marks."""
+    """Feature weights and the parent-child tables, from pages with ``y`` and ``n`` marks.
+
+    Text or paragraphs of the article outside any element make the root content.
+    """
     parsed = [Page(p) for p in (labelled_pages() if pages is None else pages)]
     forest = Forest(parsed)
     state = np.zeros(len(forest.parent), np.int64)
     for page, first in zip(parsed, forest.first[:-1], strict=True):
+        bare = any(at == 0 and text.strip() for _, at, text in page.runs)
+        state[first] = bare or any(p == 0 and t == "p" and y for p, t, y in zip(page.parent, page.tag, page.mark, strict=True))
         for i in range(1, len(page.tag)):
             mark = page.mark[i]
             state[first + i] = state[first + page.parent[i]] if mark is None else mark
     child = np.concatenate(forest.levels[1:])
-    seen_pair = np.zeros((2, 2))
-    np.add.at(seen_pair, (state[forest.parent[child]], state[child]), 1)
+    kind = forest.kind[child]
+    seen_pair = np.zeros((KINDS, 2, 2))
+    np.add.at(seen_pair, (kind, state[forest.parent[child]], state[child]), 1)
     seen = state @ forest.features
-    weights, pair = np.zeros(N_FEATURES), np.zeros((2, 2))
-    speed_w, speed_p = np.full(N_FEATURES, 1e-8), np.full((2, 2), 1e-8)
+    weights, pair = np.zeros(N_FEATURES), np.zeros((KINDS, 2, 2))
+    speed_w, speed_p = np.full(N_FEATURES, 1e-8), np.full(pair.shape, 1e-8)
     for _ in range(ROUNDS):
         single, pairs, _ = forest.marginals(weights, pair)
         step_w = (seen - single[:, 1] @ forest.features) / len(state) - DECAY * weights
-        step_p = (seen_pair - pairs[child].sum(0)) / len(state) - DECAY * pair
+        expected = np.zeros_like(pair)
+        np.add.at(expected, kind, pairs[child])
+        step_p = (seen_pair - expected) / len(state) - DECAY * pair
         speed_w += step_w**2
         speed_p += step_p**2
         weights += RATE * step_w / np.sqrt(speed_w)

@@ -314,3 +314,43 @@ def test_line_families_are_settled_by_few_comparisons(spark, monkeypatch):
             wanted[i].append(str(j))
     assert found == {i: ",".join(v) for i, v in wanted.items()}
     assert compared[0] <= 2030 and sum(compared) < 6000
+
+
+# ---------------------------------------------------------------- pages whose words no training page has
+
+_CINNAMON = "Bakers across Lisbon report that cinnamon has become scarce since the monsoon delayed every shipment."
+_PRICES = "Prices doubled within a fortnight, and smaller shops have begun to close early on weekdays."
+_RELIEF = 'Officials at <a href="/m">the ministry</a> promised <a href="/r">quick relief</a> before autumn ends.'
+_GUS = "I never liked cinnamon anyway, says Gus, who owns a hardware shop."
+_LAYOUTS = {
+    "a paragraph with links beside a plain one": (f"<article><p>{_RELIEF}</p><p>{_PRICES}</p></article>", [_RELIEF, _PRICES]),
+    "only paragraphs with links": (f"<article>{f'<p>{_RELIEF}</p>' * 4}</article>", [_RELIEF] * 4),
+    "a related aside": (f'<article><p>{_CINNAMON}</p><aside class="related"><p>Kettles by noise.</p></aside><p>{_PRICES}</p></article>', [_CINNAMON, _PRICES]),
+    "a plain aside": (f"<article><p>{_CINNAMON}</p><aside><p>Kettles ranked by weight.</p></aside><p>{_PRICES}</p></article>", [_CINNAMON, _PRICES]),
+    "comments inside": (f'<article><p>{_CINNAMON}</p><p>{_PRICES}</p><div class="comments"><p>{_GUS}</p></div></article>', [_CINNAMON, _PRICES]),
+    "an advert inside": (f'<article><p>{_CINNAMON}</p><div class="ad-slot"><p>Mattress sale.</p></div><p>{_PRICES}</p></article>', [_CINNAMON, _PRICES]),
+    "a sign-up inside": (f'<article><p>{_CINNAMON}</p><div class="newsletter-signup"><p>Get our letter.</p></div><p>{_PRICES}</p></article>', [_CINNAMON, _PRICES]),
+    "a list of comments after it": (f'<article><p>{_CINNAMON}</p><p>{_PRICES}</p></article><ol class="commentlist"><li>{_GUS}</li></ol>', [_CINNAMON, _PRICES]),
+}
+
+
+def test_layouts_of_articles():
+    import re
+
+    from opinweave.llm import html_extract
+
+    weights, pair = html_extract.train()
+    before = '<html><body><header><p>Zenith Gazette</p></header><nav><ul><li><a href="/">Start</a></li><li><a href="/b">Sport</a></li></ul></nav><main>'
+    after = "</main><footer><p>Copyright 2031 Zenith Media Group. Imprint.</p></footer></body></html>"
+    plain = lambda parts: " ".join(re.sub("<[^>]+>", "", p) for p in parts)
+    cases = {name: (before + body + after, plain(parts)) for name, (body, parts) in _LAYOUTS.items()}
+    cases["plain divs"] = (
+        f'<html><body><div><div><p>{_CINNAMON}</p><p>{_PRICES}</p></div><div class="comments"><div><p>{_GUS}</p></div></div></div></body></html>',
+        plain([_CINNAMON, _PRICES]),
+    )
+    cases["bare text"] = (_CINNAMON, _CINNAMON)
+    cases["two bare words"] = ("Hello there.", "Hello there.")
+    cases["bare text in a body"] = (f"<html><body>{_CINNAMON}<br>{_PRICES}</body></html>", plain([_CINNAMON, _PRICES]))
+    found = html_extract.extract([html for html, _ in cases.values()], weights, pair)
+    wrong = {name: said for (name, (_, wanted)), said in zip(cases.items(), found, strict=True) if said != wanted}
+    assert not wrong

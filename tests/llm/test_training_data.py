@@ -336,16 +336,17 @@ def test_unclosed_silent_elements_end_and_formulas_stay():
 
 
 def test_messages_give_exact_marginals():
-    page = html_extract.Page("<div><p>one two</p><ul><li>three<li>four</ul></div><p>five</p>")
+    page = html_extract.Page("<div><p>one two</p><ul class=menu><li>three<li>four</ul></div><main>five</main>")
     forest = html_extract.Forest([page])
     draw = np.random.default_rng(1)
-    weights, pair = draw.normal(size=html_extract.N_FEATURES), draw.normal(size=(2, 2))
+    weights, pair = draw.normal(size=html_extract.N_FEATURES), draw.normal(size=(html_extract.KINDS, 2, 2))
+    kind = page.kinds()
     single, pairs, log_z = forest.marginals(weights, pair)
     n, total = len(page.tag), 0.0
     expect, expect_pair = np.zeros(n), np.zeros((n, 2, 2))
     for state in itertools.product([0, 1], repeat=n):
         s = np.array(state)
-        value = np.exp((forest.features @ weights) @ s + sum(pair[s[page.parent[i]], s[i]] for i in range(1, n)))
+        value = np.exp((forest.features @ weights) @ s + sum(pair[kind[i], s[page.parent[i]], s[i]] for i in range(1, n)))
         total += value
         expect += value * s
         for i in range(1, n):
