@@ -21,6 +21,7 @@ language are never learned from; a null id counts as an empty one.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +31,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, mix64, small_batches
+from .common import bounded_batches, mix64, small_batches, tokenizer_folder
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The file of the pieces in the folder of the public vocabularies.
+VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = "und"
 PART = 32
@@ -53,7 +55,7 @@ def words_of(text: str) -> list[str]:
     return runs if any(c.isalpha() for r in runs for c in r) else []
 
 
-def vocabulary(path: str = VOCABULARY) -> list[str]:
+def vocabulary(path: str) -> list[str]:
     """The distinct lower-cased pieces of letters, with or without the word mark."""
     import sentencepiece
 
@@ -234,16 +236,25 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, train_docs: int = 600, path: str = VOCABULARY) -> Model:
-    """Fits one set of piece probabilities per language, each in a task of its own."""
-    names = vocabulary(path)
-    pieces = Pieces(names)
+def drawn(docs: DataFrame, train_docs: int) -> DataFrame:
+    """``lang, text`` of about ``train_docs`` documents per language, at most but for the chance of the draw.
+
+    The draw is by id and text, and rows that repeat both count once, so neither many null ids nor
+    copies of a row make it larger.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("_row"))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("_n"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     shares = F.broadcast(counts.select("lang", share.alias("_share")))  # a row per language
-    sample = labelled.join(shares, "lang").where(draw < F.col("_share"))
+    draw = F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) / float(1 << 20)
+    return labelled.join(shares, "lang").where(draw < F.col("_share")).dropDuplicates(["lang", "_row"]).select("lang", "text")
+
+
+def train(docs: DataFrame, train_docs: int = 600, path: str | None = None) -> Model:
+    """Fits one set of piece probabilities per language, each in a task of its own."""
+    names = vocabulary(path or os.path.join(tokenizer_folder(docs.sparkSession), VOCABULARY))
+    pieces = Pieces(names)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         words = Counter(w for text in rows["text"] for w in words_of(text))
@@ -254,7 +265,7 @@ def train(docs: DataFrame, train_docs: int = 600, path: str = VOCABULARY) -> Mod
         chances = fit_pieces(parts, pieces)
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "chances": [chances]})
 
-    fitted = sample.select("lang", "text").groupBy("lang").applyInPandas(fit, "lang STRING, chances ARRAY<DOUBLE>")
+    fitted = drawn(docs, train_docs).groupBy("lang").applyInPandas(fit, "lang STRING, chances ARRAY<DOUBLE>")
     rows = sorted((r["lang"], r["chances"]) for r in fitted.collect())
     chances = np.array([r[1] for r in rows]).T if rows else np.zeros((len(names) + 1, 0))
     return Model([r[0] for r in rows], chances, pieces)

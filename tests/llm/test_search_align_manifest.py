@@ -354,3 +354,16 @@ def test_layouts_of_articles():
     found = html_extract.extract([html for html, _ in cases.values()], weights, pair)
     wrong = {name: said for (name, (_, wanted)), said in zip(cases.items(), found, strict=True) if said != wanted}
     assert not wrong
+
+
+# ---------------------------------------------------------------- the bound of the language sample
+
+
+def test_language_sample_is_bounded_without_ids_and_with_copies(spark):
+    from opinweave.llm import langid
+
+    rows = [(None, f"text number {i} of many", "en", None, 1) for i in range(3000)]
+    rows += [(8, "the very same row", "de", None, 1)] * 3000 + [(8, f"eine andere {i}", "de", None, 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).where(~langid.held_out())
+    found = {r["lang"]: r["n"] for r in langid.drawn(docs, 300).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert 200 < found["en"] < 400 and 90 < found["de"] < 220
