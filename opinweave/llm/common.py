@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
+    """The same rows; columns named as ``names``, or with ``_`` first, get names that nobody has."""
+    taken, new = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("_") or c.lower() in names:
+            free = f"held{c}"
+            while free.lower() in taken:
+                free = f"held{free}"
+            taken.add(free.lower())
+            new[c] = free
+    return df.withColumnsRenamed(new) if new else df
+
+
+def sheltered(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns start with ``_``: the input's such columns pass under other names."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **settings) -> DataFrame:
+        held = set_aside(docs)
+        if held is docs:
+            return operator(docs, *args, **settings)
+        back = {new: old for new, old in zip(held.columns, docs.columns, strict=True) if new != old}
+        return operator(held, *args, **settings).withColumnsRenamed(back)
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder: a lost executor repeats nothing before it."""
     ensure_checkpoint_dir(df.sparkSession)

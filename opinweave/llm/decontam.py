@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import broadcast_if_small
 from ..operators.staged import computed
-from .common import cut
+from .common import cut, sheltered
 
 WINDOW = 10
 SHINGLE = 5
@@ -159,6 +159,7 @@ def contamination(
     )
 
 
+@sheltered
 def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of an item occurs."""
     found = hits(docs, items, **settings).select(

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import attach
 from ..operators.staged import computed
-from .common import SPACE, freed_shuffles, written
+from .common import SPACE, freed_shuffles, sheltered, written
 
 PERCENT = 80
 #: Hash buckets of the word counts: a table of 2 MB whatever the corpus.
@@ -215,6 +215,7 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_doc": doc, "_key": F.xxhash64("text")})
 
 
+@sheltered
 def remove_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All columns of ``docs``, the text without its repeated lines."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("said"), i.alias("i")))

@@ -9,10 +9,15 @@ its left half of the output shards, and the leaves are the shards. A shard's blo
 are then a range of the source's permuted sequence, so shards are disjoint; inside a shard, a
 seeded hash orders the draws.
 
+Texts are read once, for their words and their place in the seeded order; the sums, the quotas and
+the report work on that written table of numbers.
+
 Cases: a null source is a source of its own, after all others; a null or blank text has no
-words and is never drawn; documents with the same id are told apart by their texts, and equal
-rows are interchangeable; an empty table gives an empty result. Per source one row reaches the
-driver, with its target: sources are configuration, a few thousand at most.
+words and is never drawn; documents with the same id are told apart by their texts, so rows
+without ids spread as others do; rows equal in id and text are interchangeable and share one
+place in the order; an empty table gives an empty result; columns with the names of the results
+are replaced in ``mix``, all others pass. Per source one row reaches the driver, with its target:
+sources are configuration, a few thousand at most.
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import SPACE, word_count
+from .common import SPACE, set_aside, sheltered, word_count, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
+RESULTS = ("size", "source_size", "target", "draws")
 #: Rows of one (source, hash prefix) that one task orders, about.
 BUCKET_ROWS = 50_000
 #: Blocks in the tree at most; beyond, a block is several draws.
@@ -70,6 +76,14 @@ def split_quotas(quotas: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """With ``size`` and ``_key``, the place in the seeded order of a source."""
+    parts = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    return docs.withColumns({"size": word_count("text"), "_key": key})
+
+
+@sheltered
 def mix(
     docs: DataFrame,
     share: float = 1.5,
@@ -84,12 +98,23 @@ def mix(
     entry, with its first ``words`` words, to ``shard``, in the order of ``place``. It is empty
     for documents that the mix leaves out. ``weights`` repeat over the sources by code point.
     """
-    docs = docs.drop("size", "source_size", "target", "draws")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.withColumn("size", word_count("text")).withColumn("_key", key)
-    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    rows = _sized(docs.drop(*RESULTS), seed)
+    light = written(rows.select("source", "size", "_key"))
+    return _drawn(rows, light, share, weights, cap, n_shards, seed).drop("_key")
+
+
+def _drawn(
+    rows: DataFrame,
+    light: DataFrame,
+    share: float = 1.5,
+    weights: Sequence[float] = WEIGHTS,
+    cap: float = 2.0,
+    n_shards: int = 16,
+    seed: int = 7,
+) -> DataFrame:
+    """``rows`` with the results of ``mix``; ``light`` holds their ``source, size, _key``."""
     drawable = (F.col("size") > 0).cast("long")
-    sums = rows.groupBy("source").agg(
+    sums = light.groupBy("source").agg(
         F.sum("size").alias("words"), F.sum(drawable).alias("n"), F.count(F.lit(1)).alias("rows")
     )
     # UTF-8 bytes sort as code points do
@@ -103,21 +128,23 @@ def mix(
     for i, ((source, words, n, _), target) in enumerate(zip(sources, wanted, strict=True)):
         epochs, rest = divmod(round(target), words) if words else (0, 0)
         plan.append((i, source, words, target, epochs, rest, n))
-    by_source = docs.sparkSession.createDataFrame(
+    by_source = light.sparkSession.createDataFrame(
         plan,
         schema="_index INT, _source STRING, source_size BIGINT, target DOUBLE, _epochs BIGINT,"
         " _rest BIGINT, _n BIGINT",
     )
-    rows = rows.join(
-        F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_source")), "inner"
-    ).drop("_source")
 
     # the seeded order of each source, found by hash prefix: no task orders a whole source
-    digits = 1
+    digits = 2
     while max((s[3] for s in sources), default=0) > BUCKET_ROWS * 16**digits:
         digits += 1
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, digits))
-    buckets = rows.groupBy("_index", "_bucket").agg(
+
+    def placed(of: DataFrame) -> DataFrame:
+        same = F.col("source").eqNullSafe(F.col("_source"))
+        return of.join(F.broadcast(by_source), same).withColumn("_bucket", F.substring("_key", 1, digits))
+
+    light = placed(light)
+    buckets = light.groupBy("_index", "_bucket").agg(
         F.sum("size").alias("_words"), F.sum(drawable).alias("_rows")
     )
     earlier = Window.partitionBy("_index").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,9 +154,8 @@ def mix(
         F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_words0"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows0"),
     )
-    inside = Window.partitionBy("_index", "_bucket").orderBy("_key", "_tie")
+    inside = Window.partitionBy("_index", "_bucket").orderBy("_key")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    light = rows.select("doc_id", "_index", "_bucket", "_key", "_tie", "size", "_rest")
     cuts = light.join(buckets, ["_index", "_bucket"])
     cuts = cuts.withColumn("_before", F.col("_words0") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # what the partial epoch takes, in how many draws: one row per source
@@ -144,10 +170,14 @@ def mix(
 
     @F.pandas_udf("int")
     def shard_of(index: pd.Series, draw: pd.Series) -> pd.Series:
+        """The leaf that holds a draw; -1 for draws that the tree gave to none."""
         at = index.to_numpy() * stride + draw.to_numpy() // block
-        return pd.Series((np.searchsorted(flat, at, side="right") - 1) % n_shards)
+        leaf = np.searchsorted(flat, at, side="right") - 1
+        held = at < flat[leaf] + shares.ravel()[leaf]
+        return pd.Series(np.where(held, leaf % n_shards, -1))
 
-    ranked = rows.join(buckets, ["_index", "_bucket"])
+    columns = rows.columns
+    ranked = placed(rows).join(buckets, ["_index", "_bucket"])
     before = F.col("_words0") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     rank = F.col("_rows0") + F.coalesce(F.sum(drawable).over(inside), F.lit(0))
     ranked = ranked.select("*", before.alias("_before"), rank.alias("_rank"))
@@ -163,13 +193,13 @@ def mix(
                 .otherwise(F.lit(0))
                 .alias("words"),
                 shard_of("_index", F.lit(e) * F.col("_n") + F.col("_rank")).alias("shard"),
-                F.xxhash64(F.lit(seed), F.lit(e), "_key", "_tie").alias("place"),
+                F.xxhash64(F.lit(seed), F.lit(e), "_key").alias("place"),
             )
             for e in range(most)
         ]
     )
-    out = ranked.withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
-    return out.select(*docs.columns, "size", "source_size", "target", "draws")
+    taken = F.filter(draws, lambda d: (d["words"] > 0) & (d["shard"] >= 0))
+    return ranked.select(*columns, "source_size", "target", taken.alias("draws"))
 
 
 def drawn_documents(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -188,9 +218,30 @@ def drawn_documents(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*columns, F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"))
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row per draw, shard by shard in shuffled order.
+
+    A task holds slices of shards, each a range of ``place``, and its rows follow shard and place.
+    """
+    held = set_aside(docs, RESULTS)
+    back = dict(zip(held.columns, docs.columns, strict=True))
+    drawn = drawn_documents(mix(held, **settings), held.columns)
+    laid = drawn.repartition("_shard", F.shiftright("_place", 48)).sortWithinPartitions("_shard", "_place")
+    return laid.select(*held.columns).withColumnsRenamed(back)
+
+
+def shard_quotas(mixed: DataFrame) -> DataFrame:
+    """``source, shard, n_draws, words``: what the leaves of the tree hold of every source."""
+    draws = mixed.select("source", F.explode("draws").alias("d"))
+    return draws.groupBy("source", F.col("d.shard").alias("shard")).agg(
+        F.count(F.lit(1)).alias("n_draws"), F.sum("d.words").alias("words")
+    )
+
+
 def mix_report(docs: DataFrame, **settings) -> DataFrame:
-    """What the mix takes of every document; texts are not moved."""
-    light = docs.select("doc_id", "source", "text")
-    mixed = mix(light, **settings)
+    """What the leaves of the tree take of every document; texts are read once and not moved."""
+    seed = settings.get("seed", 7)
+    light = written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    mixed = _drawn(light, light, **settings)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, cut, merged, mix64, small_batches
+from .common import bounded_batches, cut, merged, mix64, sheltered, small_batches
 from .graph import components
 from .shingling import Powers, minhash, shingles, word_hashes
 
@@ -343,6 +343,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "text_key", "row_key", "n_shingles", "node", "root", alone.alias("component_id"))
 
 
+@sheltered
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each group one row with the least id.
 

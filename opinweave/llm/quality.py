@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, mix64, small_batches, text_bytes
+from .common import bounded_batches, mix64, set_aside, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -238,8 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> Trees |
 
 def score(docs: DataFrame, trees: Trees | None, least: float = 0.5) -> DataFrame:
     """All columns of ``docs`` with the base counts, ``base_failed``, ``quality_score``, ``kept``."""
-    docs = docs.drop("base_failed", "quality_score", "kept")
-    rows = with_statistics(docs)
+    docs = docs.drop(*BASE, "base_failed", "quality_score", "kept")
+    held = set_aside(docs, ("features",))
+    back = dict(zip(held.columns, docs.columns, strict=True))
+    rows = with_statistics(held)
 
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:
@@ -251,7 +253,7 @@ def score(docs: DataFrame, trees: Trees | None, least: float = 0.5) -> DataFrame
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("quality_score", scored("features"))
     kept = ~F.col("base_failed") & (F.col("quality_score") >= least)
-    return rows.withColumn("kept", kept).drop("features")
+    return rows.withColumn("kept", kept).drop("features").withColumnsRenamed(back)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, cut, small_batches, text_bytes
+from .common import bounded_batches, cut, sheltered, small_batches, text_bytes
 from .factors import anchors, pieces, removed
 
 SPAN, GRAM = 100, 32
@@ -192,6 +192,7 @@ def _resolved(span: int, gram: int):
     return run
 
 
+@sheltered
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """All columns of ``docs`` with ``kept`` (the bytes left), ``n_bytes``, ``n_removed``, ``n_spans``."""
     bounded_batches(docs)

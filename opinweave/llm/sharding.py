@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, mix64
+from .common import cut, mix64, sheltered
 
 ROUNDS = 6
 #: Bytes that a stored row takes besides its text.
@@ -77,10 +77,11 @@ def numbered(df: DataFrame, key: str, out: str) -> tuple[DataFrame, int]:
     return rows.withColumn(out, number).drop("_at"), total
 
 
+@sheltered
 def shard(
     docs: DataFrame, n_shards: int, key: str = "doc_id", seed: int = 2024
 ) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` (int) and ``slot`` (long)."""
+    """All columns of ``docs`` with ``shard`` (int) and ``slot`` (long); ``key`` must not start with ``_``."""
     if n_shards < 1:
         raise ValueError("a table needs one shard at least")
     rows, n = numbered(docs.drop("shard", "slot"), key, "_row")

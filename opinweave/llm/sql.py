@@ -72,7 +72,7 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
 OP7 = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS words,

@@ -536,6 +536,77 @@ def test_mix_of_odd_rows(spark, monkeypatch):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_leaves_of_the_tree_hold_every_draw_once(spark):
+    """The shards against a plain walk along the seeded order of every source."""
+    rows = [doc(i, "w " * (i % 9), source="ab"[i % 3 > 1]) for i in range(200)]
+    docs, n_shards, seed = frame(spark, rows), 5, 7
+    mixed = mixing.mix(docs, n_shards=n_shards)
+    got = {}
+    for r in mixed.collect():
+        got.update({(r["doc_id"], d["epoch"]): (d["shard"], d["words"]) for d in r["draws"]})
+    order, draws = {}, {}
+    for r in mixed.select("doc_id", "text", "source", "size", "target").collect():
+        said = hashlib.md5(r["text"].encode()).hexdigest()
+        key = hashlib.md5(f"{seed}:{r['doc_id']}:{said}".encode()).hexdigest()
+        order.setdefault(r["source"], []).append((key, r["doc_id"], r["size"], r["target"]))
+    for source, found in order.items():
+        left, draws[source] = round(found[0][3]), []
+        for epoch in range(3):
+            for _, i, size, _ in sorted(found):
+                if min(size, left) > 0:
+                    draws[source].append((i, epoch, min(size, left)))
+                    left -= min(size, left)
+    shares = mixing.split_quotas(np.array([len(draws[s]) for s in sorted(draws)]), n_shards, seed)
+    want = {}
+    for line, source in zip(shares, sorted(draws), strict=True):
+        shard = np.repeat(np.arange(n_shards), line)
+        want.update({(i, e): (s, w) for (i, e, w), s in zip(draws[source], shard.tolist(), strict=True)})
+    assert got == want
+    quotas = {(r["source"], r["shard"]): r["n_draws"] for r in mixing.shard_quotas(mixed).collect()}
+    assert quotas == {("ab"[i], j): n for (i, j), n in np.ndenumerate(shares) if n}
+
+
+def test_rows_without_ids_spread_over_the_order(spark):
+    docs = frame(spark, [doc(None, f"text {i}") for i in range(2000)])
+    keys = mixing._sized(docs, 7).groupBy(F.substring("_key", 1, 2)).count().collect()
+    assert len(keys) > 200 and max(r["count"] for r in keys) < 40
+
+
+def test_the_mix_is_laid_by_shard_and_place(spark):
+    docs = frame(spark, [doc(i, f"text {i}", source="ab"[i % 2]) for i in range(60)]).withColumn("size", F.lit("mine"))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {r["size"] for r in out.collect()} == {"mine"}
+    assert out.count() == 90 and "Sort [_shard" in out._jdf.queryExecution().toString()
+
+
+# ---------------------------------------------------------------- extra columns
+
+OWN = (
+    "_index _epochs _n _rest _rows0 _before _rank _words0 _words _rows _source _bucket _key _tie _size _draw _shard"
+    " _place _text _gone _spans _first _places _stay _id _doc _at _row _said _y held_key features"
+).split()
+
+
+def test_columns_named_like_the_operators_own_pass(spark):
+    rows = [doc(i, t) for i, t in enumerate(texts(5, 30))] + [doc(40, None), doc(None, "no id")]
+    docs = frame(spark, rows).withColumns({c: F.lit(f"{c} mine") for c in OWN})
+    items = spark.createDataFrame([("i", rows[0][1])], "item_id STRING, text STRING")
+    made = {
+        "mix": mixing.mix(docs),
+        "mixed": mixing.mixed_documents(docs),
+        "clean": decontam.clean_documents(docs, items),
+        "bytes": repeats.remove_repeats(docs),
+        "lines": linedup.remove_lines(docs),
+        "one": neardup.one_of_each(docs),
+        "shard": sharding.shard(docs, 3),
+        "quality": quality.score(docs, None),
+    }
+    for name, out in made.items():
+        found = out.select(*OWN).distinct().collect()
+        assert [r.asDict() for r in found] == [{c: f"{c} mine" for c in OWN}], name
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+
+
 # ---------------------------------------------------------------- lines
 
 
