@@ -38,8 +38,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, drops and cuts documents so that the sources have their target weights."""
-    return mixing.drawn_documents(mixing.mix(docs), docs.columns).select(*docs.columns)
+    """Repeats, drops and cuts documents so that the sources have their target weights, shard by shard."""
+    return mixing.mixed_documents(docs)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
