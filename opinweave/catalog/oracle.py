@@ -408,6 +408,10 @@ BODY = {
     "tfidf_features": "SELECT id, pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS value FROM (SELECT g.id, i.pos, count(*) * any_value(i.idf) AS w FROM grams g JOIN idf_tr i ON i.term = g.term JOIN marked_y m ON m.id = g.id WHERE m.split = 'test' GROUP BY g.id, i.pos)",
     "standard_scale": _scaled_by.format("(v - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END"),
     "minmax_scale": _scaled_by.format("(v - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END"),
+    "word_company": "SELECT a, b, n, round(ln(n * total / (of_a * of_b)), 6) AS ppmi FROM (SELECT a, b, n, CAST(sum(n) OVER () AS DOUBLE) AS total, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) AS of_a, CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS of_b FROM "
+    f"(WITH said AS (SELECT id, unnest({space_tokens('cleaned_text')}) AS w, unnest(range({n_words('cleaned_text')})) AS pos FROM c), often AS (SELECT w FROM said GROUP BY w HAVING count(*) >= 5), "
+    "near AS (SELECT l.w AS a, r.w AS b FROM said l CROSS JOIN (VALUES (1), (2), (3), (4)) d(k) JOIN said r ON r.id = l.id AND r.pos = l.pos + d.k) "
+    "SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) WHERE a IN (SELECT w FROM often) AND b IN (SELECT w FROM often) GROUP BY a, b)) WHERE ln(n * total / (of_a * of_b)) > 0",
     "build_vocabulary": "SELECT word, idx FROM seqvoc",
     "encode_sequences": "SELECT c.id, array_to_string(list_concat(coalesce(ids, []), list_transform(range(256 - len(coalesce(ids, []))), lambda z: 0)), ' ') AS ids FROM c LEFT JOIN "
     f"(SELECT id, list(coalesce(idx, 1) ORDER BY pos) AS ids FROM (SELECT id, unnest({space_tokens('cleaned_text')}) AS word, unnest(range({n_words('cleaned_text')})) AS pos FROM c) LEFT JOIN seqvoc USING (word) WHERE pos < 256 GROUP BY id) t ON t.id = c.id",

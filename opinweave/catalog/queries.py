@@ -17,6 +17,7 @@ from ..operators import (
     labellers as lab,
     learners as ln,
     pseudo_labels as ps,
+    wordvectors as wv,
 )
 from ..operators.skew import exact_percentiles
 from ..plans import reports
@@ -441,6 +442,21 @@ def embed_text(s, sf):
     return embedded.select("id", F.transform("embedding", lambda v: F.round(v, DIGITS)).alias("embedding"))
 
 
+@query
+def word_company(s, sf):
+    """Positive PMI of the words that keep company in reviews."""
+    return _r(wv.word_company(x.cleaned(s, sf), "cleaned_text"), "ppmi")
+
+
+@query
+def embed_company(s, sf):
+    """Unit-length means of word vectors that are fitted on all reviews."""
+    rows = x.cleaned(s, sf)
+    vectors = wv.word_vectors(wv.word_company(rows, "cleaned_text"))
+    embedded = wv.text_vectors(rows, "id", "cleaned_text", vectors)
+    return embedded.select("id", F.transform("embedding", lambda v: F.round(v, 4)).alias("embedding"))
+
+
 # ------------------------------------------------------------ joins
 
 
