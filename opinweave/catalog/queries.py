@@ -893,7 +893,7 @@ def metric_long_form(s, sf):
 @query
 def incremental_scoring(s, sf):
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
-    stream = st.landing_stream(s, sf, "parquet", schema, "documents.parquet")
+    stream = st.table_stream(s, f"{sf}/documents.parquet", schema)
     partitions = wanted_partitions(x.table(s, sf, "documents"))
     scored = st.incremental_scoring(stream, "text", partitions=partitions)
     return _r(

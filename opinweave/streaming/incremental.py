@@ -29,6 +29,15 @@ def landing_stream(spark: SparkSession, path: str, fmt: str, schema: str, patter
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stream of a Parquet table, which is one file or a folder of files.
+
+    A stream takes a folder or a pattern, but not the path of one file; a pattern that only the path
+    itself matches stands for both.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"):
     """Append all available input to a table folder, exactly once; returns the query."""
     return (
@@ -56,5 +65,6 @@ def incremental_scoring(
     if partitions is not None:
         stream = stream.repartition(partitions)
     target = path or new_folder(spark, "scored")
-    append_to(score_reviews(stream, text), target, new_folder(spark, "stream")).awaitTermination()
-    return spark.read.parquet(target)
+    scored = score_reviews(stream, text)
+    append_to(scored, target, new_folder(spark, "stream")).awaitTermination()
+    return spark.read.schema(scored.schema).parquet(target)  # without input there are no files to take it from

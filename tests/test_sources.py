@@ -81,3 +81,11 @@ def test_stream_equals_batch(spark, sf):
     assert scored.exceptAll(batch.select(scored.columns)).count() == 0
     assert scored.count() == docs.count()
     assert scored.where(F.col("theme").isNotNull()).count() > 0
+
+
+def test_a_table_of_one_file_or_of_many_is_streamed(spark, sf, tmp_path):
+    from opinweave.catalog.queries import QUERIES
+
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one, many = (QUERIES["incremental_scoring"](spark, p).orderBy("id").collect() for p in (sf, str(tmp_path)))
+    assert len(one) > 0 and one == many
