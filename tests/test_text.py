@@ -1,5 +1,6 @@
 """Text functions against an independent statement in Python's own regular expressions."""
 
+import random
 import re
 
 import pytest
@@ -87,3 +88,34 @@ def test_names(spark):
     assert df.select(tx.safe_name("t")).first()[0] == "Trust__Ethics"
     assert df.select(tx.model_file_name(F.lit("A B-c/D"))).first()[0] == "a_b_c_d"
     assert df.select(tx.model_key(F.lit("SVM"), F.lit("e"))).first()[0] == "SVM (e)"
+
+
+def old_english_tokens(raw):
+    """Every step of the tokeniser by itself: signs set apart, endings cut, words tested one by one."""
+    t = F.lower(F.coalesce(F.col(raw), F.lit("")))
+    for pattern, by in (
+        (r"\.\.\.", " ... "),
+        (r"[;@#$%&?!(){}<>\[\]\"«»“”‘’„`]|--", " $0 "),
+        (r"([:,])([^\p{Nd}])", " $1 $2"),
+        (r"[:,]$", " $0 "),
+        (f"(\\.+)([{tx.SPACE}]|$)", " $1 "),
+        (f"[{tx.SPACE}]+", " "),
+    ):
+        t = F.regexp_replace(t, pattern, by)
+    t = F.concat(t, F.lit(" "))
+    t = F.regexp_replace(t, "([^' ])('s|'m|'d|'ll|'re|'ve|n't|') ", "$1 $2 ")
+    return F.filter(F.split(t, " "), lambda w: w.rlike(r"^\p{L}+$"))
+
+
+def test_english_tokens_are_those_of_the_single_steps(spark, sf):
+    draw = random.Random(5)
+    signs = ["a", "n", "t", "s", "can", "'", "'s", "n't", "'ll", ",", ":", ".", "..", "-", "--", " ", "\n", "\u00a0", "\x85", "1", ")", "“", "é", "É", "\u0981", "_", "İ"]
+    rows = [("".join(draw.choice(signs) for _ in range(draw.randint(0, 12))),) for _ in range(30_000)]
+    df = spark.createDataFrame([*rows, (None,)], "text STRING").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    both = df.select("text", old_english_tokens("text").alias("old"), tx.english_tokens("text").alias("new"))
+    assert both.where(~F.col("old").eqNullSafe(F.col("new"))).take(3) == []
+
+
+def test_english_tokens_test_no_word_by_itself(spark):
+    plan = spark.range(1).select(tx.english_tokens(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().toString()
+    assert "lambda" not in plan and plan.split("== Physical Plan ==")[1].count("regexp_replace") == 3
