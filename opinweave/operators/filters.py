@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.labels import sql_text
 from ..functions.lexicons import NA_TOKENS
-from .skew import BROADCAST_ROWS, attach
+from .skew import BROADCAST_ROWS, attach, text_key
 from .staged import computed
 
 INLINE_WORDS = 20_000
@@ -28,11 +28,6 @@ def drop_missing_text(df: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
-def _text_key(text: str) -> list[Column]:
-    """128 bits that stand for a text."""
-    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), F.col(text)).alias("_k2")]
-
-
 def english_share(df: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
     """``(_k1, _k2, share)``: share of letter-only tokens of a text in the distinct ``vocab``.
 
@@ -40,7 +35,7 @@ def english_share(df: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
     ids may repeat or be missing.
     """
     tokens = df.where(~tx.has_bengali(text)).select(
-        *_text_key(text), F.explode(tx.english_tokens(text)).alias("word")
+        *text_key(text), F.explode(tx.english_tokens(text)).alias("word")
     )
     known = vocab.withColumn("_hit", F.lit(1))
     joined = attach(tokens, known, ["word"], "left", 10 * BROADCAST_ROWS)
@@ -96,7 +91,7 @@ def filter_english(
         kept = df.withColumn("_share", share(tokens)).where(F.col("_share") >= F.lit(min_share)).drop("_share")
     else:
         passed = english_share(df, known, text).where(F.col("share") >= F.lit(min_share))
-        keyed = df.select("*", *_text_key(text))
+        keyed = df.select("*", *text_key(text))
         return keyed.join(passed, ["_k1", "_k2"], "left_semi").select(*df.columns)
     known.unpersist()
     return kept

@@ -5,21 +5,29 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import lookup
-from .skew import attach
+from .skew import BROADCAST_ROWS, attach, text_key
 
 
 def attach_labels(
-    reviews: DataFrame, labelled: DataFrame, on: str = "cleaned_text", label: str = "sentiment_label"
+    reviews: DataFrame,
+    labelled: DataFrame,
+    on: str = "cleaned_text",
+    label: str = "sentiment_label",
+    limit: int = 10 * BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join of the distinct (text, label) pairs; a text with two labels fans out.
 
-    The labelled side is broadcast if it is small; else a frequent text is a hot key on the
+    128 bits stand for a text, so no text is shuffled unless its column is asked for. The labelled
+    side is broadcast if it has at most ``limit`` rows; else a frequent text is a hot key on the
     review side only, which adaptive execution splits.
     """
-    return attach(reviews, labelled.select(on, label).distinct(), [on], "left")
+    key = [F.when(F.col(on).isNotNull(), k).alias(f"_k{i}") for i, k in enumerate(text_key(on), 1)]
+    labels = labelled.where(F.col(on).isNotNull()).select(*key, label).distinct()
+    rest = [c for c in reviews.columns if c != on]
+    return attach(reviews.select("*", *key), labels, ["_k1", "_k2"], "left", limit).select(on, *rest, label)
 
 
 def vocab_lookup(tokens: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:

@@ -45,6 +45,11 @@ def attach(
     return df.join(dim if small is None else small, list(keys), how)
 
 
+def text_key(text: str) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), F.col(text)).alias("_k2")]
+
+
 # ------------------------------------------------------------ exact percentiles
 
 

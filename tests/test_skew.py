@@ -154,3 +154,20 @@ def test_scalers_keep_constant_columns_at_zero(spark):
     df = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "features ARRAY<DOUBLE>")
     assert [r[1] for r in ft.standard_scaler(df)(df).collect()] == [[-1.0, 0.0], [1.0, 0.0]]
     assert [r[1] for r in ft.minmax_scaler(df)(df).collect()] == [[0.0, 0.0], [1.0, 0.0]]
+
+
+def test_labels_are_attached_without_shuffling_texts(spark):
+    from opinweave.operators import joins as jn
+
+    reviews = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", None, "", "z"])], "id INT, cleaned_text STRING")
+    marks = [("a", "x"), ("a", "y"), ("a", "x"), (None, "n"), ("", "e"), ("b", None)]
+    labelled = spark.createDataFrame(marks, "cleaned_text STRING, sentiment_label STRING")
+    want = reviews.join(labelled.distinct(), "cleaned_text", "left")
+    for limit in (0, 100):
+        got = jn.attach_labels(reviews, labelled, limit=limit)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    some = jn.attach_labels(reviews, labelled, limit=0).select("id", "sentiment_label")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "HashAggregate" in line or "SortMergeJoin" in line]
+    assert sent and not any("cleaned_text" in line for line in sent)
