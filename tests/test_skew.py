@@ -171,3 +171,20 @@ def test_labels_are_attached_without_shuffling_texts(spark):
     plan = some._jdf.queryExecution().executedPlan().toString()
     sent = [line for line in plan.splitlines() if "HashAggregate" in line or "SortMergeJoin" in line]
     assert sent and not any("cleaned_text" in line for line in sent)
+
+
+def test_vocabulary_of_the_first_texts(spark, monkeypatch):
+    from opinweave.operators import features as ft
+
+    monkeypatch.setattr(ft, "FIRST_TEXTS", 3)
+    rows = [(i // 2, f"w{i % 7} w{i} w{i + 1}") for i in range(80)] + [(None, "none at all"), (1, None), (2, " ")]
+    df = spark.createDataFrame(rows, "id INT, t STRING").repartition(4)
+    for words in (2, 5, 12, 40, 1000):
+        at = {}
+        for i, t in rows:
+            for pos, w in enumerate(dict.fromkeys((t or "").split())):
+                at[w] = min(at.get(w, (9e9, 0)), (-1 if i is None else i, pos))
+        order = sorted(at, key=lambda w: (at[w], w))[: words - 2]
+        got = {r["word"]: r["idx"] for r in ft.build_vocabulary(df, "id", "t", words).collect()}
+        assert got == {w: i for i, w in enumerate(order, 2)}
+    assert "<= " in ft.build_vocabulary(df, "id", "t", 12)._jdf.queryExecution().toString()
