@@ -188,3 +188,19 @@ def test_vocabulary_of_the_first_texts(spark, monkeypatch):
         got = {r["word"]: r["idx"] for r in ft.build_vocabulary(df, "id", "t", words).collect()}
         assert got == {w: i for i, w in enumerate(order, 2)}
     assert "<= " in ft.build_vocabulary(df, "id", "t", 12)._jdf.queryExecution().toString()
+
+
+def test_words_are_counted_before_they_are_shuffled_for_a_lookup(spark, sf, monkeypatch):
+    from opinweave.catalog.queries import QUERIES
+    from opinweave.operators import joins as jn
+
+    few = QUERIES["vocab_lookup"](spark, sf).collect()  # the vocabulary is broadcast
+    monkeypatch.setattr(jn, "attach", lambda df, dim, keys, how: df.join(dim, keys, how))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = QUERIES["vocab_lookup"](spark, sf)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftSemi") < plan.index("Aggregate [word")
+        assert sorted(found.collect()) == sorted(few)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
