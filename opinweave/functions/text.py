@@ -141,33 +141,6 @@ def word_ngrams(text: Column | str, stop: Iterable[str] = ()) -> Column:
     )
 
 
-def known_ngrams(text: Column | str, terms: Iterable[str], stop: Iterable[str] = ()) -> Column:
-    """Those of :func:`word_ngrams` that are among the terms.
-
-    A pair is only built where its words begin and end a term.
-    """
-    terms = sorted(terms)
-    single = [t for t in terms if " " not in t]
-    pairs = [t for t in terms if " " in t]
-    firsts, seconds = ({t.split(" ")[i] for t in pairs} for i in (0, 1))
-
-    def known(w: Column) -> Column:
-        found = []
-        if single:
-            found.append(F.filter(w, lambda t: t.isin(single)))
-        if pairs:
-            both = _neighbours(
-                w,
-                lambda a, b: F.when(
-                    a.isin(sorted(firsts)) & b.isin(sorted(seconds)), F.concat(a, F.lit(" "), b)
-                ),
-            )
-            found.append(F.filter(both, lambda p: p.isin(pairs)))
-        return F.concat(*found)
-
-    return F.get(F.transform(F.array(term_words(text, stop)), known), F.lit(0))
-
-
 def safe_name(name: Column | str) -> Column:
     """A file-name form: word characters, hyphens, and ``_`` for blanks."""
     kept = F.regexp_replace(_col(name), f"[^{WORD}{SPACE}-]", "")

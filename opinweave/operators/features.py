@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lexicons import ENGLISH_STOPWORDS
-from ..functions.text import known_ngrams, space_tokens, word_ngrams
+from ..functions.text import space_tokens, word_ngrams, words
 from ..functions.vectors import l2_normalize
 from .skew import BROADCAST_ROWS, hash_buckets, hash_order
 from .staged import computed
@@ -145,22 +145,58 @@ def default_stop_words() -> list[str]:
     return ENGLISH_STOPWORDS
 
 
-def tfidf_vocabulary(
-    train: DataFrame,
-    text: str = "cleaned_text",
-    max_features: int = 100,
-    min_df: int = 2,
-    max_df: float = 0.95,
-    stop: Sequence[str] | None = None,
-) -> DataFrame:
-    """``term, cf, df, idf`` of the most frequent terms, at most ``max_features``.
+#: Words whose pairs are counted by number; with more of them all pairs are counted as strings.
+PAIRED_WORDS = 20_000
 
-    One pass counts occurrences and texts per term, per task before the shuffle; nothing is
-    grouped by (text, term).
+
+def _numbered(said: pa.Array, stop: pa.Array, chosen: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``row, term`` of each chosen word and pair of neighbours, after short words and stop-words are taken out.
+
+    With ``m`` chosen words the term of word ``i`` is ``i``, that of ``i`` before ``j`` is ``m + i * m + j``.
     """
-    stop = default_stop_words() if stop is None else stop
+    flat = said.flatten()
+    short = np.less(pc.utf8_length(flat).to_numpy(zero_copy_only=False), 2)
+    known = pa.concat_arrays([stop, chosen]).cast(flat.type)  # the first of equals counts
+    place = pc.fill_null(pc.index_in(flat, value_set=known), len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+    stays = ~short & (place >= len(stop))
+    row = np.repeat(np.arange(len(said)), pc.list_value_length(said).to_numpy(zero_copy_only=False))[stays]
+    place, m = place[stays] - len(stop), len(chosen)
+    single = place < m
+    pair = (row[1:] == row[:-1]) & single[1:] & single[:-1]
+    rows = np.concatenate([row[single], row[1:][pair]])
+    return rows, np.concatenate([place[single], m + place[:-1][pair] * m + place[1:][pair]])
+
+
+def _said(text: str):
+    return words(F.coalesce(F.col(text), F.lit("")))
+
+
+def _paired_totals(train: DataFrame, text: str, chosen: list[str], stop: Sequence[str]) -> DataFrame:
+    """``term, cf, df`` of the chosen words and their pairs; the row without a term has the number of texts."""
+    stops, m = pa.array(sorted(stop), pa.string()), len(chosen)
+    names = pa.array(chosen, pa.string())
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term = _numbered(batch.column(0), stops, names)
+            both, cf = np.unique(row + term * batch.num_rows, return_counts=True)
+            found, at = np.unique(both // max(batch.num_rows, 1), return_index=True)
+            first = names.take(pa.array(np.where(found < m, found, (found - m) // m)))
+            last = names.take(pa.array(np.where(found < m, found, (found - m) % m)))
+            term = pc.if_else(pa.array(found < m), first, pc.binary_join_element_wise(first, last, " "))
+            cf = np.append(np.add.reduceat(cf, at) if len(at) else cf, 0)
+            df = np.append(np.diff(np.append(at, len(both))), batch.num_rows)
+            columns = [pa.concat_arrays([term.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(cf, pa.int64()), pa.array(df, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "cf", "df"])
+
+    counted = train.select(_said(text).alias("said")).mapInArrow(totals, "term STRING, cf BIGINT, df BIGINT")
+    return counted.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def _every_total(train: DataFrame, text: str, stop: Sequence[str]) -> DataFrame:
+    """The same of all words and pairs, in one pass that counts them per task before the shuffle."""
     # in a sorted array the first of a run of equal terms stands for the text
-    grams = computed(train.select(text), _grams=F.array_sort(word_ngrams(text, stop)))
+    grams = computed(train.select(text), _grams=F.sort_array(word_ngrams(text, stop)))
     before = F.concat(
         F.array(F.lit(None).cast("string")),
         F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - 1, F.lit(0))),
@@ -175,12 +211,50 @@ def tfidf_vocabulary(
     # one row without a term per text counts the texts in the same pass
     text_row = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
     rows = F.when(F.size("_grams") > 0, F.concat(marked, text_row)).otherwise(text_row)
-    totals = (
-        grams.select(F.inline(rows))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    return grams.select(F.inline(rows)).groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
+
+
+def tfidf_vocabulary(
+    train: DataFrame,
+    text: str = "cleaned_text",
+    max_features: int = 100,
+    min_df: int = 2,
+    max_df: float = 0.95,
+    stop: Sequence[str] | None = None,
+) -> DataFrame:
+    """``term, cf, df, idf`` of the most frequent terms, at most ``max_features``.
+
+    A pair is at most as frequent as either of its words. So single words are counted first, and
+    then only pairs of frequent words: if enough terms are at least as frequent as the rarest of
+    these, no other term can be among the result; if not, more words are taken. Nothing is
+    grouped by (text, term).
+    """
+    stop = default_stop_words() if stop is None else stop
+    every = train.select(F.explode(_said(text)).alias("word")).where(F.length("word") >= 2)
+    if stop:
+        every = every.where(~F.col("word").isin(sorted(stop)))
+    frequent = every.groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+    # a term is in at most as many texts as it has occurrences
+    frequent = frequent.where(F.col("cf") >= min_df).persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = 4 * max_features
+    try:
+        while True:
+            last = frequent.orderBy(F.desc("cf")).limit(wanted).agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+            whole = last["n"] < wanted
+            some = [] if last["n"] == 0 else frequent.where(F.col("cf") >= last["cf"]).limit(PAIRED_WORDS + 1).collect()
+            counted = len(some) <= PAIRED_WORDS
+            totals = _paired_totals(train, text, sorted(r["word"] for r in some), stop) if counted else _every_total(train, text, stop)
+            top, least = _top_terms(totals, max_features, min_df, max_df)
+            if whole or not counted or (least is not None and least >= last["cf"]):
+                return top
+            wanted *= 8
+    finally:
+        frequent.unpersist()
+
+
+def _top_terms(totals: DataFrame, max_features: int, min_df: int, max_df: float) -> tuple[DataFrame, int | None]:
+    """The vocabulary of the totals, and the occurrences of its last term if it is full."""
+    totals = totals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = totals.where(F.col("term").isNull()).agg(F.max("df")).first()[0] or 0
         kept = totals.where(
@@ -189,7 +263,9 @@ def tfidf_vocabulary(
         idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
         top = kept.orderBy(F.desc("cf"), "term").limit(max_features).withColumn("idf", idf)
         # at most `max_features` rows
-        return train.sparkSession.createDataFrame(top.collect(), top.schema)
+        rows = top.collect()
+        least = rows[-1]["cf"] if rows and len(rows) == max_features else None
+        return totals.sparkSession.createDataFrame(rows, top.schema), least
     finally:
         totals.unpersist()
 
@@ -199,6 +275,28 @@ def tfidf_model(vocabulary: DataFrame) -> list[tuple[str, float]]:
     return [(r["term"], r["idf"]) for r in vocabulary.select("term", "idf").orderBy("term").collect()]
 
 
+def _term_counts(terms: Sequence[str], stop: Sequence[str]):
+    """A function of a text's words: how often it says each of the terms."""
+    parts = [t.split(" ") for t in terms]
+    chosen = sorted({w for p in parts if len(p) <= 2 for w in p})
+    at, m = {w: i for i, w in enumerate(chosen)}, len(chosen)
+    # a term of more words is never said
+    numbers = np.array([at[p[0]] if len(p) == 1 else m + at[p[0]] * m + at[p[1]] if len(p) == 2 else -1 for p in parts], np.int64)
+    known, which = np.unique(numbers, return_inverse=True)
+    stops, names, width = pa.array(sorted(stop), pa.string()), pa.array(chosen, pa.string()), len(terms)
+
+    @F.arrow_udf("array<int>")
+    def counts(said: pa.Array) -> pa.Array:
+        row, term = _numbered(said, stops, names)
+        place = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        hit = known[place] == term
+        found = np.bincount(row[hit] * len(known) + place[hit], minlength=len(said) * len(known))
+        grid = found.reshape(len(said), len(known))[:, which].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(said) + 1, dtype=np.int32) * width), pa.array(grid.ravel()))
+
+    return counts
+
+
 def with_tfidf(
     df: DataFrame,
     model: Sequence[tuple[str, float]],
@@ -212,11 +310,9 @@ def with_tfidf(
     if not terms:
         raise ValueError("the TF-IDF vocabulary is empty")
     idf = F.lit([float(w) for _, w in model])
-    kept = computed(df, _kept=known_ngrams(text, terms, stop))
-    counts = F.transform(F.lit(terms), lambda t: F.size(F.filter("_kept", lambda g: g == t)))
-    weighted = computed(kept, _weights=F.zip_with(counts, idf, lambda c, w: c * w))
+    weighted = computed(df.withColumn("_counts", _term_counts(terms, stop)(_said(text))), _weights=F.zip_with("_counts", idf, lambda c, w: c * w))
     unit = l2_normalize("_weights")
-    return weighted.withColumn(out, unit).drop("_kept", "_weights")
+    return weighted.withColumn(out, unit).drop("_counts", "_weights")
 
 
 # ------------------------------------------------------------ scalers

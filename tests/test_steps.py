@@ -1,10 +1,12 @@
 """Steps of training and scoring whose cost must not grow faster than their rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from opinweave.functions import text as tx
-from opinweave.operators import pseudo_labels as ps
+from opinweave.operators import features as ft, pseudo_labels as ps
 
 
 def test_nearest_is_that_of_all_differences():
@@ -44,3 +46,56 @@ def test_space_tokens_between_any_white_space(spark, sign):
     rows = [(f"A{sign}b{sign}", ["a", "b"]), (f"{sign}É", ["é"]), (sign, []), ("", []), (None, [])]
     df = spark.createDataFrame(rows, "t STRING, want ARRAY<STRING>")
     assert [r[0] for r in df.select(tx.space_tokens("t")).collect()] == [w for _, w in rows]
+
+
+WORDS = ["aa", "bb", "cc", "dd", "ee", "the", "x", "Ünï"]
+
+
+def _texts(n: int):
+    draw = np.random.default_rng(3)
+    said = [" ".join(draw.choice(WORDS, draw.integers(0, 12), p=[0.3, 0.2, 0.15, 0.1, 0.05, 0.1, 0.05, 0.05])) for _ in range(n)]
+    return [*said, None, "", "only only only only only only only only only only"]
+
+
+def _grams(text):
+    w = [t for t in (text or "").lower().split() if len(t) >= 2 and t != "the"]
+    return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
+def _expected(texts, size, min_df, max_df):
+    cf, df = Counter(), Counter()
+    for t in texts:
+        cf.update(_grams(t))
+        df.update(set(_grams(t)))
+    kept = [(t, c, df[t]) for t, c in cf.items() if min_df <= df[t] <= max_df * len(texts)]
+    return sorted(kept, key=lambda r: (-r[1], r[0].encode()))[:size]
+
+
+@pytest.mark.parametrize("size, max_df", [(1, 1.0), (1, 0.3), (5, 0.95), (5, 0.2), (100, 0.95)])
+@pytest.mark.parametrize("paired", [20_000, 3])
+def test_tfidf_vocabulary_is_that_of_all_counts(spark, monkeypatch, size, max_df, paired):
+    monkeypatch.setattr(ft, "PAIRED_WORDS", paired)
+    texts = _texts(150)
+    df = spark.createDataFrame([(t,) for t in texts], "cleaned_text STRING").repartition(3)
+    found = ft.tfidf_vocabulary(df, max_features=size, max_df=max_df, stop=["the"]).collect()
+    assert [(r["term"], r["cf"], r["df"]) for r in found] == _expected(texts, size, 2, max_df)
+
+
+def test_tfidf_vocabulary_shuffles_no_rare_pairs(spark, monkeypatch):
+    """Words of one text and their pairs never leave the task that reads them as terms."""
+    seen = []
+    top = ft._top_terms
+    monkeypatch.setattr(ft, "_top_terms", lambda totals, *a: (seen.append(totals.count()), top(totals, *a))[1])
+    rows = [(f"aa bb aa bb w{i} v{i} u{i}",) for i in range(300)]
+    df = spark.createDataFrame(rows, "cleaned_text STRING")
+    found = ft.tfidf_vocabulary(df, max_features=2, max_df=1.0, stop=[]).collect()
+    assert [r["term"] for r in found] == ["aa", "aa bb"] and seen[-1] < 20
+
+
+def test_tfidf_counts(spark):
+    texts = _texts(60)
+    terms = ["bb", "aa bb", "aa aa", "the", "bb", "x", "aa bb cc", "ünï", "zz aa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id INT, cleaned_text STRING").repartition(2)
+    found = df.select("id", ft._term_counts(terms, ["the"])(ft._said("cleaned_text")).alias("n")).collect()
+    want = {i: [Counter(_grams(t))[g] for g in terms] for i, t in enumerate(texts)}
+    assert {r["id"]: r["n"] for r in found} == want
