@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from opinweave.functions import text as tx
-from opinweave.operators import features as ft, pseudo_labels as ps
+from opinweave.operators import features as ft, learners as ln, pseudo_labels as ps
 
 
 def test_nearest_is_that_of_all_differences():
@@ -99,3 +99,32 @@ def test_tfidf_counts(spark):
     found = df.select("id", ft._term_counts(terms, ["the"])(ft._said("cleaned_text")).alias("n")).collect()
     want = {i: [Counter(_grams(t))[g] for g in terms] for i, t in enumerate(texts)}
     assert {r["id"]: r["n"] for r in found} == want
+
+
+def test_svm_fits_classes_side_by_side(spark, monkeypatch):
+    import threading
+
+    draw = np.random.default_rng(4)
+    rows = [(i, i % 3, [float(v) for v in draw.normal(size=4) + 3 * (i % 3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id INT, y INT, features ARRAY<DOUBLE>")
+    met, fit = threading.Barrier(2), ln.LinearSVC.fit
+    waits = iter([True, True])
+
+    def fitted(self, *args):
+        if next(waits, False):
+            met.wait(60)  # ends with an error if no second class is fitted meanwhile
+        return fit(self, *args)
+
+    monkeypatch.setattr(ln.LinearSVC, "fit", fitted)
+    found = ln.train_svm(df, width=32, max_iter=20).predict(df).collect()
+    assert np.mean([r["y"] == r["yhat"] for r in found]) > 0.95
+
+
+def test_fourier_features(spark):
+    x = np.random.default_rng(6).normal(size=(50, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id INT, features ARRAY<DOUBLE>").repartition(3)
+    project = ln._fourier_features(df, "features", 4096, 42)
+    z = np.array([r[0] for r in df.select("id", project("features").alias("z")).orderBy("id").select("z").collect()])
+    spread = (x.var(axis=0, ddof=1) + x.mean(axis=0) ** 2).mean() - x.mean() ** 2
+    kernel = np.exp(-((x[:, None] - x) ** 2).sum(axis=2) / (3 * spread))
+    assert z.shape == (50, 4096) and np.abs(z @ z.T - kernel).max() < 0.1
