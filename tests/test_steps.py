@@ -128,3 +128,20 @@ def test_fourier_features(spark):
     spread = (x.var(axis=0, ddof=1) + x.mean(axis=0) ** 2).mean() - x.mean() ** 2
     kernel = np.exp(-((x[:, None] - x) ** 2).sum(axis=2) / (3 * spread))
     assert z.shape == (50, 4096) and np.abs(z @ z.T - kernel).max() < 0.1
+
+
+def test_score_sentiment_makes_its_training_rows_once(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from opinweave.catalog import queries as q
+
+    seen, rows = spark.sparkContext.accumulator(0), q.x.labelled_reviews
+
+    @F.udf("string")
+    def noted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(q.x, "labelled_reviews", lambda s, d: rows(s, d).withColumn("cleaned_text", noted("cleaned_text")))
+    q.QUERIES["score_sentiment"](spark, sf)
+    assert seen.value == rows(spark, sf).count() > 0
