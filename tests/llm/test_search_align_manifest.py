@@ -316,6 +316,35 @@ def test_line_families_are_settled_by_few_comparisons(spark, monkeypatch):
     assert compared[0] <= 2030 and sum(compared) < 6000
 
 
+def test_line_families_make_few_pairs(spark, monkeypatch):
+    """Near copies of lines of 40 and 90 words: what is written on the way grows with their number, not its square."""
+    from opinweave.llm import linedup
+
+    draw = random.Random(8)
+    lines = []
+    for base in ([f"w{i}" for i in range(40)], [f"v{i}" for i in range(90)]):
+        for _ in range(300):
+            words = list(base)
+            words[draw.randrange(len(base))] = f"x{draw.randrange(50)}"
+            lines.append(" ".join(words))
+    draw.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(60)]
+    made, written = [], linedup.written
+
+    def counted(df):
+        out = written(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linedup, "written", counted)
+    found = linedup.line_report(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    first = {kind: next(i for i, t in enumerate(lines) if kind in t) for kind in ("w1", "v1")}
+    assert sum(r["n_removed"] for r in found) == 598 and {first["w1"], first["v1"]} == {
+        r["doc_id"] * 10 + int(j) for r in found for j in r["kept_lines"].split(",") if j
+    }
+    assert max(made) <= 28 * len(lines)  # seven groups a line, four firsts in each; all pairs would be 89,700
+
+
 # ---------------------------------------------------------------- pages whose words no training page has
 
 _CINNAMON = "Bakers across Lisbon report that cinnamon has become scarce since the monsoon delayed every shipment."
