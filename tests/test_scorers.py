@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from opinweave.functions import lexicons as lex
-from opinweave.operators import labellers as lab, learners as ln
+from opinweave.operators import features as ft, labellers as lab, learners as ln
 from opinweave.sources import writers as wr
 
 
@@ -94,3 +94,16 @@ def test_grid_keeps_failures_as_rows(spark):
     said = {r["model"]: r for r in grid}
     assert said["Naive Bayes"]["accuracy"] == 100.0 and said["Broken"]["error"] == "cannot be fitted"
     assert said["Broken"]["accuracy"] is None
+
+
+def test_sequences_are_read_a_few_at_a_time(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(30)]
+    df = spark.createDataFrame([*texts, (30, None)], "id INT, cleaned_text STRING").coalesce(1)
+    wanted = None
+    for some in (1024, 4):
+        monkeypatch.setattr(ft, "TEXTS_AT_ONCE", some)
+        monkeypatch.setattr(ln, "SEQUENCES_AT_ONCE", some)
+        coded = ft.with_sequences(df, ft.build_vocabulary(df))
+        got = [(r["id"], r["ids"], np.round(r["features"], 12).tolist()) for r in ln.recurrent_features(coded, units=8).orderBy("id").collect()]
+        wanted = wanted or got
+        assert got == wanted
